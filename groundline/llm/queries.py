@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import mixing, warc
+from groundline.llm import mixing, quality, warc
 from groundline.sources.tables import table
 
 
@@ -14,12 +14,17 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repetition(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
+    "op4_repetition": op4_repetition,
     "op9_warc": op9_warc,
 }
 
