@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,27 @@ def pieces(n_bytes: int, each: int, least: int = 1) -> int:
 def block_of(n_blocks: int, *columns: str) -> Column:
     """An even deal of rows to blocks by a hash of ``columns``."""
     return F.pmod(F.xxhash64(*columns), F.lit(n_blocks)).cast("int").alias("block")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """An array as compressed bytes; equal bytes of neighbouring items stand together first."""
+    size = values.dtype.itemsize
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T).tobytes(), 1)
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    kind = np.dtype(dtype)
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def binary(table: pa.Table, column: str) -> list[bytes]:
+    """Values of a binary column, an item at a time."""
+    return [x for chunk in table.column(column).chunks for x in chunk.to_pylist()]
+
+
+def runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])

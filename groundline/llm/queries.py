@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import mixing, quality, warc
+from groundline.llm import mixing, ppm, quality, warc
 from groundline.sources.tables import table
 
 
@@ -22,10 +22,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix": op2_mix,
     "op4_repetition": op4_repetition,
     "op9_warc": op9_warc,
+    "op10_ppm": op10_ppm,
 }
 
 ORACLE_SQL: dict[str, str] = {
