@@ -14,8 +14,9 @@ Word counts for the base score go the same way. So what a task holds depends on
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count as count_up
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from groundline.llm.common import binary, block_of, pack, pieces, runs, text_byt
 
 ORDER = 5
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Stands for the end of a text among words; no word contains a line feed.
 END = b"\n"
 MIXER = np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +75,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     at = runs(k)
     return k[at], np.add.reduceat(c, at) if len(at) else c
@@ -130,7 +131,7 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, short: Short) -> np.
     levels = {}
     for k in range(3, ORDER + 1):
         own = keys & ((1 << 8 * (k + 1)) - 1)
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own)
         at = runs(own[order])
         uniq, total = own[order][at], np.add.reduceat(counts[order].astype(np.float64), at)
         where = np.empty(len(keys), np.int64)
@@ -232,7 +233,17 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
     texts = [lowered(t) for t in docs.column("text").to_pylist()]
     held = docs.column("held_out").to_pylist()
     by_bucket = {b: (v, told.column("values")[i].as_py()) for i, (b, v) in enumerate(zip(told.column("bucket").to_pylist(), told.column("distinct").to_pylist(), strict=True))}
-    k = gram_counts(texts, 0)[0]
+    asked, starts, keys = [], [], []
+    for some in chunks(texts):  # each chunk's distinct grams, and for each of its bytes which one it is
+        g, begin = grams(some)
+        order = np.argsort(g)
+        at = runs(g[order])
+        place = np.empty(len(g), np.int32)
+        place[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(g)]))
+        keys.append(g[order][at])
+        asked.append(place)
+        starts.append(begin)
+    k = np.unique(np.concatenate(keys))
     value = np.empty(len(k))
     bucket = gram_bucket(k, n_grams)
     order = np.argsort(bucket, kind="stable")
@@ -240,8 +251,10 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
     for b in range(n_grams):
         if ends[b + 1] > ends[b]:
             value[order[ends[b]:ends[b + 1]]] = unpack(by_bucket[b][1], "f4")
-    words = {w: None for some in chunks(texts) for w in WORDS.findall(b"\n".join(some))} | {END: None}
-    wk = word_keys(list(words))
+    number: defaultdict[bytes, int] = defaultdict(count_up().__next__)
+    end = number[END]
+    tokens = [np.fromiter(map(number.__getitem__, found := WORDS.findall(t)), np.int32, len(found)) for t in texts]
+    wk = word_keys(list(number))
     uniq, back = np.unique(wk, return_inverse=True)
     count = np.empty(len(uniq), np.int64)
     of = (uniq % np.uint64(n_words)).astype(np.int64)
@@ -250,23 +263,12 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
     for b in range(n_words):
         if ends[b + 1] > ends[b]:
             count[order[ends[b]:ends[b + 1]]] = unpack(by_bucket[n_grams + b][1], "i8")
-    number = {w: i for i, w in enumerate(words)}
     c_of = count[back]
-    log_of = np.log10(c_of + 1.0)
-    end_log, end_known = log_of[number[END]], int(c_of[number[END]] > 0)
-    n_tokens, n_known, logs, score = [], [], [], []
-    for some in chunks(texts):
-        g, begin = grams(some)
-        order = np.argsort(g, kind="stable")
-        at = runs(g[order])
-        v = np.empty(len(g))
-        v[order] = np.repeat(value[np.searchsorted(k, g[order][at])], np.diff(np.r_[at, len(g)]))
-        score += np.add.reduceat(v, begin).tolist()
-        for t in some:
-            ids = np.fromiter(map(number.__getitem__, found := WORDS.findall(t)), np.int64, len(found))
-            n_tokens.append(len(ids) + 1)
-            n_known.append(int((c_of[ids] > 0).sum()) + end_known)
-            logs.append(float(log_of[ids].sum() + end_log))
+    log_of, known = np.log10(c_of + 1.0), c_of > 0
+    score = [x for own, place, begin in zip(keys, asked, starts, strict=True) for x in np.add.reduceat(value[np.searchsorted(k, own)][place], begin).tolist()]
+    n_tokens = [len(t) + 1 for t in tokens]
+    n_known = [int(known[t].sum() + known[end]) for t in tokens]
+    logs = [float(log_of[t].sum() + log_of[end]) for t in tokens]
     train = sum(n for n, h in zip(n_tokens, held, strict=True) if not h)
     distinct = sum(v for v, _ in by_bucket.values())
     ids = docs.column("doc_id").to_pylist()
