@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import mixing, pii, ppm, quality, warc
+from groundline.llm import mixing, pii, ppm, quality, resampling, warc
 from groundline.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
 
+def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
     "op4_repetition": op4_repetition,
+    "op8_resampling": op8_resampling,
     "op9_warc": op9_warc,
     "op10_ppm": op10_ppm,
 }
