@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.llm.common import WORD, binary, pack, unpack, written
+from groundline.llm.common import WORD, binary, pack, parts_of, unpack, written
 
 FIND = re.compile(WORD).findall
 MAX_LABELLED = 20_000
@@ -97,28 +97,14 @@ def importance(texts: list[str], weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parts(texts: list[str | None], size: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Texts in parts of about ``size`` characters, with where each begins."""
-    begin, some, n = 0, [], 0
-    for i, t in enumerate(texts):
-        some.append(t or "")
-        n += len(some[-1])
-        if n >= size:
-            yield begin, some
-            begin, some, n = i + 1, [], 0
-    if some:
-        yield begin, some
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's rows: by model (0 raw, 1 target) and slice of the n-gram numbers, one packed row each."""
     raw, target, any_target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), False
     for batch in batches:
-        is_target = np.array(batch.column("role").to_pylist(), dtype=object) == "target"
-        for begin, some in _parts(batch.column("text").to_pylist()):
-            rows, sizes = ngrams(some)
+        for part in parts_of(batch, "text"):
+            rows, sizes = ngrams([t or "" for t in part.column("text").to_pylist()])
             raw += np.bincount(rows.ravel(), minlength=SIZE)
-            mine = np.repeat(is_target[begin:begin + len(some)], sizes)
+            mine = np.repeat(np.array(part.column("role").to_pylist(), dtype=object) == "target", sizes)
             if mine.any():
                 any_target = True
                 target += np.bincount(rows[mine].ravel(), minlength=SIZE)
@@ -172,8 +158,7 @@ def classify(
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            value = np.concatenate([importance(some, weight) for _, some in _parts(texts)]) if texts else np.zeros(0)
+            value = np.concatenate([np.zeros(0), *(importance([t or "" for t in part.column("text").to_pylist()], weight) for part in parts_of(batch, "text"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("role"), batch.column("draw"), pa.array(value, pa.float64())], ["doc_id", "role", "draw", "importance"])
 
     draw = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
