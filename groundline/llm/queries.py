@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import decontamination, mixing, pii, ppm, quality, resampling, warc
+from groundline.llm import decontamination, jaccard, mixing, pii, ppm, quality, resampling, warc
 from groundline.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
     "op4_repetition": op4_repetition,
+    "op5_jaccard": op5_jaccard,
     "op6_templates": op6_templates,
     "op8_resampling": op8_resampling,
     "op9_warc": op9_warc,
