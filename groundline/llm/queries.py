@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import decontamination, jaccard, mixing, pii, ppm, quality, resampling, warc
+from groundline.llm import decontamination, jaccard, mixing, pii, ppm, quality, repeats, resampling, warc
 from groundline.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mix": op2_mix,
+    "op3_repeats": op3_repeats,
     "op4_repetition": op4_repetition,
     "op5_jaccard": op5_jaccard,
     "op6_templates": op6_templates,
