@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import decontamination, jaccard, mixing, pii, ppm, quality, repeats, resampling, warc
+from groundline.llm import decontamination, jaccard, licenses, mixing, pii, ppm, quality, repeats, resampling, warc
 from groundline.sources.tables import table
 
 
@@ -34,6 +34,10 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.with_paths(table(spark, sf_dir, "documents")))
+
+
 def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repetition": op4_repetition,
     "op5_jaccard": op5_jaccard,
     "op6_templates": op6_templates,
+    "op7_licenses": op7_licenses,
     "op8_resampling": op8_resampling,
     "op9_warc": op9_warc,
     "op10_ppm": op10_ppm,
