@@ -190,25 +190,35 @@ def decontaminate(
     each id. A null or empty text is clean. Texts are read whole, whatever their length. Repeated rows each get a row; an empty
     table gives none; an empty benchmark leaves every document clean; other columns are left out, so none can clash.
     """
+    return find_leaks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), indexes_of(benchmark, width, part_bytes), containment).select(
+        "doc_id", (F.size("_matches") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("_matches", lambda m: m["item_id"]))).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("_matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"),
+        F.exists("_matches", lambda m: m["reparameterised"]).alias("reparameterised"), (F.size("_matches") == 0).alias("kept"),
+    )
+
+
+def indexes_of(benchmark: DataFrame, width: int, part_bytes: int) -> list[Index]:
+    """The benchmark's index in parts of about ``part_bytes`` of text."""
     n_parts = pieces(text_bytes(benchmark, "text"), part_bytes)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts))
-    indexes = [Index.build([tuple(r) for r in benchmark.where(part == i).select("item_id", "text").collect()], width) for i in range(n_parts)]
-    return find_leaks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), indexes, containment).select(
-        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"),
-        F.exists("matches", lambda m: m["reparameterised"]).alias("reparameterised"), (F.size("matches") == 0).alias("kept"),
-    )
+    return [Index.build([tuple(r) for r in benchmark.where(part == i).select("item_id", "text").collect()], width) for i in range(n_parts)]
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", width: int = 5, containment: float = 0.5, part_bytes: int = 16 << 20) -> DataFrame:
+    """The documents that :func:`decontaminate` keeps, with all their columns; the text isn't shuffled."""
+    found = find_leaks(docs.withColumn("_text", F.col(text_col)), indexes_of(benchmark, width, part_bytes), containment, tuple(docs.columns), "_text")
+    return found.where(F.size("_matches") == 0).drop("_matches")
 
 
-def find_leaks(source: DataFrame, indexes: list[Index], containment: float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` of ``source`` and its matches in every part of the benchmark; the text passes once for each part."""
+def find_leaks(source: DataFrame, indexes: list[Index], containment: float, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` of ``source`` and ``_matches`` of its ``text`` in every part of the benchmark; the text passes once for each part."""
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("reparameterised", pa.bool_())]))
 
     def one(df: DataFrame, index: Index, column: str) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in parts_of(batch, "text"):
-                    found = leaks([x or "" for x in part.column("text").to_pylist()], index, containment)
+                for part in parts_of(batch, text):
+                    found = leaks([x or "" for x in part.column(text).to_pylist()], index, containment)
                     rows = pa.array([[dict(zip(("item_id", "containment", "reparameterised"), m, strict=True)) for m in f] for f in found], struct)
                     yield pa.RecordBatch.from_arrays([*part.columns, rows], [*part.schema.names, column])
 
@@ -217,4 +227,4 @@ def find_leaks(source: DataFrame, indexes: list[Index], containment: float, keep
 
     columns = [f"_matches_{i}" for i in range(len(indexes))]
     found = reduce(lambda df, x: one(df, *x), zip(indexes, columns, strict=True), source)
-    return found.select(*keep, F.flatten(F.array(*columns)).alias("matches"))
+    return found.select(*keep, F.flatten(F.array(*columns)).alias("_matches"))

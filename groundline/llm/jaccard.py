@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import binary, block_of, pack, pieces, runs, text_bytes, unpack, written
+from groundline.llm.common import WORD, binary, block_of, pack, pieces, runs, text_bytes, unpack, written
 from groundline.llm.components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -109,7 +109,7 @@ def answers(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("block").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(told, pa.binary())], ["block", "bucket", "values"])
 
 
-SETS = "doc_id long, n_shingles long, node binary, shared binary, prefix array<long>"
+SETS = "doc_id long, row long, n_shingles long, node binary, shared binary, prefix array<long>"
 
 
 def sets_of(docs: pa.Table, told: pa.Table, width: int, n_buckets: int, num: int, den: int) -> pa.Table:
@@ -138,8 +138,8 @@ def sets_of(docs: pa.Table, told: pa.Table, width: int, n_buckets: int, num: int
         shared[i] = h.tobytes()
         prefix[i] = h[np.lexsort((h, f))][:n_prefix].view(np.int64)
     return pa.Table.from_arrays([
-        docs.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
-    ], ["doc_id", "n_shingles", "node", "shared", "prefix"])
+        docs.column("doc_id").combine_chunks(), docs.column("row").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(shared, pa.binary()), pa.array(prefix, pa.list_(pa.int64())),
+    ], ["doc_id", "row", "n_shingles", "node", "shared", "prefix"])
 
 
 class Lists:
@@ -233,23 +233,24 @@ def candidate_tasks(nodes: DataFrame, group: int) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, group: int = GROUP) -> DataFrame:
-    """A row per document: ``doc_id, n_shingles, label, n_links``; documents of equal label are joined by links."""
+    """A row per document: ``doc_id, row, n_shingles, label, n_links``; documents of equal label are joined by links. ``row`` is a
+    hash of id and text."""
     num, den = similarity
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = text_bytes(source, "text")
     n_blocks, n_buckets = pieces(n_bytes, block_bytes, 2), pieces(n_bytes, bucket_bytes, 2)
-    dealt = source.select(block_of(n_blocks, "doc_id", "text"), "doc_id", "text")
+    dealt = source.select(block_of(n_blocks, "doc_id", "text"), F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     asked = dealt.groupBy("block").applyInArrow(lambda t: asks(t, width, n_buckets), "bucket int, block int, keys binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, values binary")
     rows = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: sets_of(d, t, width, n_buckets, num, den), SETS), "sets")
 
     copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    nodes = written(rows.where("prefix is not null").dropDuplicates(["node"]).drop("doc_id").join(copies, "node"), "nodes")
+    nodes = written(rows.where("prefix is not null").dropDuplicates(["node"]).drop("doc_id", "row").join(copies, "node"), "nodes")
     links = written(candidate_tasks(nodes, group).groupBy("kind", "task", "i", "j").applyInArrow(lambda t: links_of(t, num, den), LINKS), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), "linked")
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     known = copies.join(labels, "node", "left").join(n_links, "node", "left").select("node", F.coalesce("label", "node").alias("label"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "n_shingles", "node").join(known, "node", "left").select("doc_id", "n_shingles", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "row", "n_shingles", "node").join(known, "node", "left").select("doc_id", "row", "n_shingles", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, similarity: tuple[int, int] = (85, 100), **sizes: int) -> DataFrame:
@@ -265,3 +266,17 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     first = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     joined = rows.where("label is not null").join(first, "label").select("doc_id", "n_shingles", "component_id", "n_links")
     return joined.unionByName(rows.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "n_links"))
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), **sizes: int) -> DataFrame:
+    """``docs`` without near copies: of each component the row of the smallest id stays, of rows equal in id and text one.
+
+    Documents without words are no copies of each other and all stay. All columns are kept. The text is shuffled once, by the
+    hash of its row.
+    """
+    rows = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias("_row"))
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    return keyed.where(~wordless).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(keyed.where(wordless)).drop("_row")

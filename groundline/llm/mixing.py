@@ -146,3 +146,14 @@ def taken_words(placed: DataFrame, block_tokens: int, max_repeats: int, seed: in
         .withColumn("r", F.pmod("owed", "n"))
         .withColumn("taken", F.expr(f"(owed div n) * size + {upto('end')} - {upto('end - size')}").cast("long"))
     )
+
+
+def take_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns and ``size, source_size, target, taken``.
+
+    Documents of which nothing is taken go. Rows equal in id and text are told apart by nothing, so each counts as its likes' mean.
+    """
+    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    mixed = mix_sources(docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"))), id_col="_row", text_col=text_col, **options)
+    took = mixed.groupBy(F.col("doc_id.row").alias("_row")).agg(*(F.first(c).alias(c) for c in ("size", "source_size", "target")), F.round(F.avg("taken")).cast("long").alias("taken"))
+    return docs.withColumn("_row", row).join(took, "_row").where("taken > 0").drop("_row")

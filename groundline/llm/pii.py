@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundline.llm.boosting import Boosted
+from groundline.llm.common import parts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
@@ -242,22 +243,34 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     the model adds. A null text is an empty one, without spans. Texts of any length are searched whole. Repeated rows each get
     a row; an empty table gives none; other columns are left out, so none can clash.
     """
+    found = [x.split()[0] for x in FOUND.split(", ")][: None if with_text else -1]
+    return search_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), ("doc_id",)).select("doc_id", *(F.col(f"_{c}").alias(c) for c in found))
+
+
+def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with their texts redacted and ``length_col``, if there is one, set to the new length. A null text stays null."""
+    found = search_pii(docs.withColumn("_text", F.col(text_col)), tuple(docs.columns))
+    text = F.when(F.col(text_col).isNotNull(), F.col("_redacted"))
+    length = {length_col: F.when(F.col(text_col).isNotNull(), F.length("_redacted")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {}
+    return found.select(*(text.alias(c) if c == text_col else length[c].alias(c) if c in length else F.col(c) for c in docs.columns))
+
+
+def search_pii(source: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """``carry`` of ``source(_text, ...)`` with the columns of ``FOUND``, each under a leading ``_``."""
     trees, limits = model()
-    names = [x.split()[0] for x in FOUND.split(", ")][: None if with_text else -1]
+    names = [f"_{x.split()[0]}" for x in FOUND.split(", ")]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column("text").to_pylist()]
+            for part in parts_of(batch, "_text"):
+                texts = [t or "" for t in part.column("_text").to_pylist()]
                 found = redactions(texts, trees, limits)
                 counts = [Counter(k for _, _, k in b) for b, _ in found]
                 columns = [
                     *[pa.array([c[k] for c in counts], pa.int64()) for k in BASE_KINDS], pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
-                    pa.array([joined(a) for _, a in found], pa.string()), *([pa.array([redact(t, a) for t, (_, a) in zip(texts, found, strict=True)], pa.string())] if with_text else []),
+                    pa.array([joined(a) for _, a in found], pa.string()), pa.array([redact(t, a) for t, (_, a) in zip(texts, found, strict=True)], pa.string()),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *columns], [*carry, *names])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = ", ".join(FOUND.split(", ")[: len(names)])
-    return source.mapInArrow(search, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {schema}")
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
+    return source.select(*carry, *(["_text"] if "_text" not in carry else [])).mapInArrow(search, f"{fields}, " + ", ".join(f"_{x}" for x in FOUND.split(", ")))

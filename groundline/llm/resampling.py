@@ -132,57 +132,70 @@ def cut_of(clean: np.ndarray, bad: np.ndarray, clean_loss: float) -> float:
     return float(tried[np.argmax(gain)])
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, clean_loss: float = 0.001, noise: float = 0.001, seed: int = 5,
-) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: ``doc_id, importance, sampled_key, kept``.
 
     ``labels(doc_id, quality, toxic)``: documents of quality 1 that aren't toxic are the target. At most ``max_labelled`` labelled
     ids are used, in the order of a hash; all counts and importances are of all documents. Without any label of a target
-    document every document is kept. A null or empty text has the lowest importance and goes once there is a target. An id
-    that is labelled more than once is a target only if all its labels say so. Equal keys at the edge are settled by id, and rows equal in all columns
-    are alike. Repeated rows each get a row; an empty table gives none; other columns are left out, so none can clash.
+    document every document is kept. A null or empty text has the lowest importance and goes once there is a target. An id that
+    is labelled more than once is a target only if all its labels say so. Keys are drawn from id and text, so rows equal in both
+    share one and stay or go together. An empty table gives none; other columns are left out, so none can clash.
     """
+    rated, least = rate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, carry=("doc_id",), **options)
+    return rated.select("doc_id", F.col("_importance").alias("importance"), F.col("_key").alias("sampled_key"), (F.col("_key") >= least).alias("kept"))
+
+
+def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that :func:`classify` keeps, with all their columns. The text passes through once and isn't shuffled."""
+    rated, least = rate(docs.withColumns({"doc_id": F.col(id_col), "text": F.col(text_col)}), labels, carry=tuple(docs.columns), **options)
+    return rated.where(F.col("_key") >= least).select(*docs.columns)
+
+
+def rate(
+    source: DataFrame, labels: DataFrame, *, carry: tuple[str, ...], max_labelled: int = MAX_LABELLED, clean_loss: float = 0.001, noise: float = 0.001, seed: int = 5,
+) -> tuple[DataFrame, float]:
+    """``carry`` of ``source(doc_id, text, ...)`` with ``_importance`` and ``_key``, written out; and the least key that is kept."""
     good = F.min(((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int"))
-    label = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(good.alias("good")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labelled)
-    fits = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0
-    role = F.when(F.col("good").isNull(), "none").when(fits & (F.col("good") == 1), "target").when(fits, "none").when(F.col("good") == 1, "clean").otherwise("bad")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(written(label, "labels")), "doc_id", "left").select("doc_id", "text", role.alias("role"))
+    label = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(good.alias("_good")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
+    fits = F.pmod(F.xxhash64("_label_id", F.lit(seed)), F.lit(2)) == 0
+    role = F.when(F.col("_good").isNull(), "none").when(fits & (F.col("_good") == 1), "target").when(fits, "none").when(F.col("_good") == 1, "clean").otherwise("bad")
+    joined = source.join(F.broadcast(written(label, "labels")), F.col("doc_id") == F.col("_label_id"), "left").withColumns({"_role": role, "_draw": F.xxhash64(F.lit(seed + 1), "doc_id", "text")})
 
-    models = source.select("text", "role").mapInArrow(_counted, "model int, slice int, counts binary").groupBy("model", "slice").applyInArrow(_added, "model int, slice int, counts binary").collect()
+    models = joined.select("text", F.col("_role").alias("role")).mapInArrow(_counted, "model int, slice int, counts binary").groupBy("model", "slice").applyInArrow(_added, "model int, slice int, counts binary").collect()
     counts = np.zeros((2, SIZE), np.int64)
     for row in models:  # 2 x SLICES rows, SIZE numbers in all, whatever the corpus
         width = SIZE // SLICES
         counts[row["model"], row["slice"] * width:(row["slice"] + 1) * width] = unpack(bytes(row["counts"]), "i8")
     weight = weights(counts[1], counts[0])
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = np.concatenate([np.zeros(0), *(importance([t or "" for t in part.column("text").to_pylist()], weight) for part in parts_of(batch, "text"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("role"), batch.column("draw"), pa.array(value, pa.float64())], ["doc_id", "role", "draw", "importance"])
+            for part in parts_of(batch, "_text"):
+                value = importance([t or "" for t in part.column("_text").to_pylist()], weight)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*carry, "_role", "_draw"]), pa.array(value, pa.float64())], [*carry, "_role", "_draw", "_importance"])
 
-    draw = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    rated = written(source.select("doc_id", "text", "role", draw.alias("draw")).mapInArrow(rate, f"doc_id {kind}, role string, draw long, importance double"), "importance")
-    known = rated.where(F.col("role").isin("clean", "bad")).select("role", "importance").toPandas()  # at most max_labelled ids
-    value = {r: known.loc[known["role"] == r, "importance"].to_numpy() for r in ("clean", "bad")}
-    cut = cut_of(value["clean"], value["bad"], clean_loss)
-    return gumbel_top_k(rated, cut, noise)
+    taken = joined.select(*carry, F.col("text").alias("_text"), "_role", "_draw")
+    fields = ", ".join(f"`{c}` {taken.schema[c].dataType.simpleString()}" for c in [*carry, "_role", "_draw"])
+    u = (F.pmod("_draw", F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rated = written(taken.mapInArrow(measure, f"{fields}, _importance double").withColumn("_key", F.col("_importance") - noise * F.log(-F.log(u))), "importance")
+    known = rated.where(F.col("_role").isin("clean", "bad")).select("_role", "_importance").toPandas()  # rows of at most max_labelled ids
+    value = {r: known.loc[known["_role"] == r, "_importance"].to_numpy() for r in ("clean", "bad")}
+    return rated, least_key(rated, cut_of(value["clean"], value["bad"], clean_loss))
 
 
-def gumbel_top_k(rated: DataFrame, cut: float, noise: float, step: float = 1e-4) -> DataFrame:
-    """Keeps as many rows as lie at or over ``cut``: those with the largest ``importance`` plus Gumbel noise.
+def least_key(rated: DataFrame, cut: float, step: float = 1e-4) -> float:
+    """The key from which on to keep: as many rows as lie at or over ``cut``, those of the largest keys.
 
-    The k-th key is found from counts by bins of ``step``; only the bin that holds it is ranked.
+    It is found from counts by bins of ``step``; only the bin that holds it is looked into, again by its counts.
     """
-    u = (F.pmod("draw", F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = rated.withColumn("sampled_key", F.col("importance") - noise * F.log(-F.log(u))).withColumn("bin", F.floor(F.col("sampled_key") / step))
-    below = F.count(F.when(F.col("importance") < cut, 1))
-    bins = keyed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), below.alias("out"))
-    edge = bins.withColumn("upto", F.sum("n").over(Window.orderBy("bin"))).withColumn("out", F.sum("out").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    last = edge.where("upto > out").orderBy("bin").select("bin", (F.col("out") - (F.col("upto") - F.col("n"))).alias("drop")).first()
-    edge_bin, drop = (last["bin"], last["drop"]) if last else (1 << 62, 0)
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy("sampled_key", "doc_id"))
-    at_edge = keyed.where(F.col("bin") == edge_bin).withColumn("kept", rank > drop)
-    away = keyed.where(F.col("bin") != edge_bin).withColumn("kept", F.col("bin") > edge_bin)
-    return away.unionByName(at_edge).select("doc_id", "importance", "sampled_key", "kept")
+    low, width = EMPTY - 2.0, step
+    n_out = rated.where(F.col("_importance") < cut).count()
+    if not n_out:
+        return -float("inf")
+    bins = rated.groupBy(F.floor((F.col("_key") - low) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("bin")))
+    edge = bins.where(F.col("upto") > n_out).orderBy("bin").first()
+    if edge is None:
+        return float("inf")
+    keys = rated.where(F.floor((F.col("_key") - low) / width) == edge["bin"]).groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    upto = keys.withColumn("upto", F.sum("n").over(Window.orderBy("_key")) + (edge["upto"] - edge["n"]))
+    return float(upto.where(F.col("upto") > n_out).orderBy("_key").first()["_key"])
