@@ -29,10 +29,10 @@ class Runs:
 
 
 def generated(runs: DataFrame, prompt: Column, model: TextGenerator) -> DataFrame:
-    """``runs`` with ``new_text, query, stopped`` of the model's next words. Written out, since a model may answer differently twice."""
+    """``runs`` with ``new_text, query, stopped`` of the model's next words; an old ``query`` gives way. Written out, since a model may answer differently twice."""
     full = written(runs.withColumn("_full", column(model.generate, "string", prompt)), "generated")
     text, query, stopped = stop_parts(F.coalesce("_full", F.lit("")))
-    return full.select(*runs.columns, text.alias("new_text"), query.alias("query"), stopped.alias("stopped"))
+    return full.select(*(c for c in runs.columns if c != "query"), text.alias("new_text"), query.alias("query"), stopped.alias("stopped"))
 
 
 def started(questions: DataFrame, model: TextGenerator) -> DataFrame:
