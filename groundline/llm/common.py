@@ -7,39 +7,23 @@ answers to their texts. Blocks and buckets are counted from the input's bytes, s
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The scratch folder of a session that names none (tests, local mode).
-_OWN: dict[str, str] = {}
+from groundline.sources.scratch import scratch_dir, written
+
+__all__ = ["WORD", "binary", "block_of", "pack", "parts_of", "pieces", "runs", "scratch_dir", "text_bytes", "unpack", "written"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
-    if not found:
-        found = _OWN["dir"] = tempfile.mkdtemp(prefix="groundline-")
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def text_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of text in ``columns``, over all rows."""
     return int(df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0)

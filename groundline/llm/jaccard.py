@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundline.llm.common import WORD, binary, block_of, pack, pieces, runs, text_bytes, unpack, written
-from groundline.llm.components import components
+from groundline.operators.components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 STEPS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -233,8 +233,9 @@ def candidate_tasks(nodes: DataFrame, group: int) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, group: int = GROUP) -> DataFrame:
-    """A row per document: ``doc_id, row, n_shingles, label, n_links``; documents of equal label are joined by links. ``row`` is a
-    hash of id and text."""
+    """A row per document: ``doc_id, row, n_shingles, lead_id, lead_row, n_links``. ``row`` is a hash of id and text; the lead is the
+    row of the smallest id that links reach, null for a document without words. Components are told to different sets first
+    and then to their copies, so a hot component meets no join with all its documents."""
     num, den = similarity
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = text_bytes(source, "text")
@@ -244,13 +245,16 @@ def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, simi
     told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, values binary")
     rows = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: sets_of(d, t, width, n_buckets, num, den), SETS), "sets")
 
-    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
-    nodes = written(rows.where("prefix is not null").dropDuplicates(["node"]).drop("doc_id", "row").join(copies, "node"), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first)
+    nodes = written(rows.where("prefix is not null").dropDuplicates(["node"]).drop("doc_id", "row").join(copies.drop("first"), "node"), "nodes")
     links = written(candidate_tasks(nodes, group).groupBy("kind", "task", "i", "j").applyInArrow(lambda t: links_of(t, num, den), LINKS), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), "linked")
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    known = copies.join(labels, "node", "left").join(n_links, "node", "left").select("node", F.coalesce("label", "node").alias("label"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "row", "n_shingles", "node").join(known, "node", "left").select("doc_id", "row", "n_shingles", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = copies.join(labels, "node", "left").join(n_links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    leads = named.groupBy("label").agg(F.min("first").alias("lead"))
+    known = named.join(leads, "label").select("node", F.col("lead.doc_id").alias("lead_id"), F.col("lead.row").alias("lead_row"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc_id", "row", "n_shingles", "node").join(known, "node", "left").select("doc_id", "row", "n_shingles", "lead_id", "lead_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, similarity: tuple[int, int] = (85, 100), **sizes: int) -> DataFrame:
@@ -262,10 +266,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links with nothing. Repeated rows are copies and link with each other; a null id is the smallest of a component only where
     no other is. An empty table gives none; other columns are left out, so none can clash.
     """
-    rows = written(linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes), "joined")
-    first = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.where("label is not null").join(first, "label").select("doc_id", "n_shingles", "component_id", "n_links")
-    return joined.unionByName(rows.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "n_links"))
+    rows = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)
+    own = F.when(F.col("lead_row").isNull(), F.col("doc_id")).otherwise(F.col("lead_id"))
+    return rows.select("doc_id", "n_shingles", own.alias("component_id"), "n_links")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), **sizes: int) -> DataFrame:
@@ -275,8 +278,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hash of its row.
     """
     rows = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)
-    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
-    stay = first.select(F.col("first.row").alias("_row"))
+    stay = rows.where(F.col("row") == F.col("lead_row")).select(F.col("row").alias("_row")).distinct()
     keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
     return keyed.where(~wordless).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(keyed.where(wordless)).drop("_row")
