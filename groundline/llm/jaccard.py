@@ -13,8 +13,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import defaultdict
+from itertools import count as count_up
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from groundline.llm.common import WORD, binary, block_of, pack, pieces, runs, text_bytes, unpack, written
 from groundline.operators.components import components
 
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 STEPS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 #: Bits of a shingle's hash that buckets compare; the search compares all 64.
 KEY_BITS = np.uint64(24)
@@ -41,27 +40,35 @@ def _mixed(x: np.ndarray, step: np.uint64) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles, ascending within a text, and how many each text has."""
-    words = [WORDS.findall((t or "").encode("utf-8", "replace").lower()) for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    if not sizes.sum():
+    """Hashes of each text's distinct shingles, ascending within a text, and how many each text has.
+
+    Bytes split at ASCII white space and nothing else, which is what words are here.
+    """
+    number: defaultdict[bytes, int] = defaultdict(count_up().__next__)
+    found = [np.fromiter(map(number.__getitem__, w := (t or "").encode("utf-8", "replace").lower().split()), np.int32, len(w)) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    if not number:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for some in words for w in some), np.int64, int(sizes.sum()))
-    code = pd.util.hash_array(np.array(list(number), dtype=object), categorize=False)[ids]
+    code = pd.util.hash_array(np.array(list(number), dtype=object), categorize=False)[np.concatenate(found)]
     ends = np.cumsum(sizes)
-    begin, doc = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
     rolled = np.zeros(len(code), np.uint64)
-    for k in range(width):  # past a text's end only shorter texts are hashed, and those as a whole
-        later = np.minimum(np.arange(len(code)) + k, ends[doc] - 1)
-        inside = np.arange(len(code)) + k < ends[doc]
-        rolled = _mixed(rolled ^ np.where(inside, code[later], np.uint64(0)), STEPS[k % 4] + np.uint64(2 * k))
-    use = (np.arange(len(code)) + width <= ends[doc]) | ((np.arange(len(code)) == begin[doc]) & (sizes[doc] < width))
-    rolled, doc = rolled[use], doc[use]
-    order = np.lexsort((rolled, doc))
-    rolled, doc = rolled[order], doc[order]
-    keep = np.r_[True, (rolled[1:] != rolled[:-1]) | (doc[1:] != doc[:-1])]
-    return rolled[keep], np.bincount(doc[keep], minlength=len(texts))
+    for k in range(width):
+        rolled[:len(code) - k] = _mixed(rolled[:len(code) - k] ^ code[k:], STEPS[k % 4] + np.uint64(2 * k))
+    short = np.flatnonzero((sizes > 0) & (sizes < width))
+    for i in short.tolist():  # a text of fewer words is one shingle
+        whole = np.zeros(1, np.uint64)
+        for k in range(width):
+            whole = _mixed(whole ^ (code[ends[i] - sizes[i] + k] if k < sizes[i] else np.uint64(0)), STEPS[k % 4] + np.uint64(2 * k))
+        rolled[ends[i] - sizes[i]] = whole[0]
+    n = np.where(sizes >= width, sizes - width + 1, sizes > 0)
+    begin = np.cumsum(n) - n
+    rolled = rolled[np.repeat(ends - sizes - begin, n) + np.arange(n.sum())]
+    for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True):
+        rolled[a:b].sort()
+    keep = np.ones(len(rolled), bool)
+    keep[1:] = rolled[1:] != rolled[:-1]
+    keep[begin[n > 0]] = True
+    return rolled[keep], np.add.reduceat(np.r_[keep, False].astype(np.int64), np.minimum(begin, len(keep))) * (n > 0)
 
 
 def set_names(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
@@ -81,6 +88,23 @@ def least_overlap(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
     return -(-num * n // den)
 
 
+def key_bytes(keys: np.ndarray) -> bytes:
+    """Keys of 40 bits, five bytes each; they are as good as random, so they aren't compressed."""
+    return keys.astype(np.uint32).tobytes() + (keys >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def key_array(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def dealt_order(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys by bucket, and where each bucket's end."""
+    of = (keys % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.int64)
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(n_buckets + 1))
+
+
 def asks(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
     """A block's distinct shingles by bucket, with the number of its different sets that hold each."""
     hashes, sizes = shingle_sets(table.column("text").to_pylist(), width)
@@ -89,18 +113,16 @@ def asks(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
     own = np.sort(hashes[np.repeat(new, sizes)])
     at = runs(own)
     keys, counts = own[at], np.diff(np.r_[at, len(own)])
-    of = (keys % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(n_buckets + 1))
+    order, ends = dealt_order(keys, n_buckets)
     block = table.column("block")[0].as_py()
-    rows = [(b, block, pack(keys[o] >> KEY_BITS), pack(counts[o].astype(np.uint32))) for b in range(n_buckets) if ends[b + 1] > ends[b] for o in (order[ends[b]:ends[b + 1]],)]
+    rows = [(b, block, key_bytes(keys[o] >> KEY_BITS), pack(counts[o].astype(np.uint32))) for b in range(n_buckets) if ends[b + 1] > ends[b] for o in (order[ends[b]:ends[b + 1]],)]
     columns = list(zip(*rows, strict=True)) or [[], [], [], []]
     return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["bucket", "block", "keys", "counts"])
 
 
 def answers(table: pa.Table) -> pa.Table:
     """For each block, in how many sets its shingles occur in all."""
-    asked = [unpack(x, "u8") for x in binary(table, "keys")]
+    asked = [key_array(x) for x in binary(table, "keys")]
     keys, counts = np.concatenate(asked), np.concatenate([unpack(x, "u4") for x in binary(table, "counts")]).astype(np.int64)
     order = np.argsort(keys)
     at = runs(keys[order])
@@ -117,9 +139,7 @@ def sets_of(docs: pa.Table, told: pa.Table, width: int, n_buckets: int, num: int
     hashes, sizes = shingle_sets(docs.column("text").to_pylist(), width)
     names = set_names(hashes, sizes)
     uniq, back = np.unique(hashes, return_inverse=True)
-    df, of = np.zeros(len(uniq), np.int64), (uniq % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(n_buckets + 1))
+    df, (order, ends) = np.zeros(len(uniq), np.int64), dealt_order(uniq, n_buckets)
     for b, value in zip(told.column("bucket").to_pylist(), binary(told, "values"), strict=True):
         df[order[ends[b]:ends[b + 1]]] = unpack(value, "u4")
     df = df[back]
@@ -232,10 +252,13 @@ def candidate_tasks(nodes: DataFrame, group: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, group: int = GROUP) -> DataFrame:
-    """A row per document: ``doc_id, row, n_shingles, lead_id, lead_row, n_links``. ``row`` is a hash of id and text; the lead is the
-    row of the smallest id that links reach, null for a document without words. Components are told to different sets first
-    and then to their copies, so a hot component meets no join with all its documents."""
+def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents ``(doc_id, row, n_shingles, node)``, different sets ``(node, label, n_links)``, and the lead of each label
+    ``(label, lead)``: the ``doc_id`` and ``row``, a hash of id and text, of the smallest id that links reach.
+
+    Components are told to different sets first and then to their copies, so a hot component meets no join with all its
+    documents.
+    """
     num, den = similarity
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = text_bytes(source, "text")
@@ -253,8 +276,8 @@ def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, simi
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     named = copies.join(labels, "node", "left").join(n_links, "node", "left").withColumn("label", F.coalesce("label", "node"))
     leads = named.groupBy("label").agg(F.min("first").alias("lead"))
-    known = named.join(leads, "label").select("node", F.col("lead.doc_id").alias("lead_id"), F.col("lead.row").alias("lead_row"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "row", "n_shingles", "node").join(known, "node", "left").select("doc_id", "row", "n_shingles", "lead_id", "lead_row", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = named.select("node", "label", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc_id", "row", "n_shingles", "node"), known, leads
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, similarity: tuple[int, int] = (85, 100), **sizes: int) -> DataFrame:
@@ -266,9 +289,10 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     links with nothing. Repeated rows are copies and link with each other; a null id is the smallest of a component only where
     no other is. An empty table gives none; other columns are left out, so none can clash.
     """
-    rows = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)
-    own = F.when(F.col("lead_row").isNull(), F.col("doc_id")).otherwise(F.col("lead_id"))
-    return rows.select("doc_id", "n_shingles", own.alias("component_id"), "n_links")
+    rows, known, leads = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)
+    told = known.join(leads, "label").select("node", F.col("lead.doc_id").alias("lead_id"), "n_links")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("lead_id"))
+    return rows.join(told, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), **sizes: int) -> DataFrame:
@@ -277,8 +301,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents without words are no copies of each other and all stay. All columns are kept. The text is shuffled once, by the
     hash of its row.
     """
-    rows = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)
-    stay = rows.where(F.col("row") == F.col("lead_row")).select(F.col("row").alias("_row")).distinct()
+    stay = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)[2].select(F.col("lead.row").alias("_row")).distinct()
     keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
     return keyed.where(~wordless).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(keyed.where(wordless)).drop("_row")
