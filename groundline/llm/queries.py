@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import decontamination, jaccard, licenses, mixing, pii, ppm, quality, repeats, resampling, warc
+from groundline.llm import decontamination, jaccard, licenses, mixing, oracles, pii, ppm, quality, repeats, resampling, warc
 from groundline.sources.tables import table
 
 
@@ -64,11 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_warc": """
-        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-        g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
-        FROM g
-    """,
+    "op2_mix": oracles.MIX,
+    "op3_repeats": oracles.REPEATS,
+    "op4_repetition": oracles.repetition(quality.COVERAGE_LIMITS, quality.LINE_LIMIT, quality.SYMBOL_LIMIT),
+    "op5_jaccard": oracles.JACCARD,
+    "op9_warc": oracles.WARC,
 }

@@ -1,0 +1,87 @@
+import hashlib
+import re
+
+import pytest
+
+from groundline.llm import pii
+from groundline.llm.boosting import Boosted
+
+SAMPLES = [
+    "", None, "mail a.b+c@d.example.com, x@y and @z.com or a@b@c.de", "1.2.3.4.5 and 999.1.1.1 and 010.020.030.040 256.1.1.1", "card 4845168114407329 or 4845-1681 1440 7329, 4845168114407320", "+1 (017) 555-7713 +49 30 1234567 +1", "0.0.0.0 " * 300,
+    "+(((((((((" * 50, "9" * 5000, "a@b.c" * 400, "x=" * 3000, 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" é', "ü" * 30 + " a@b.co " + "日本 1.1.1.1", "+1234567890 12345678901234 " * 20, "a.@b.c %@x-.y-", "1 2 3 4 5 6 7 8 9 0 1 2 3 4",
+]
+
+
+def brute(text):
+    """The patterns as they are written, in the plain engine."""
+    text, found = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+        if 14 <= len(digits) <= 19 and total % 10 == 0:
+            found.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append((m.start(), 3, m.end()))
+    return [(s, e, pii.BASE_KINDS[k]) for s, k, e in sorted(found)]
+
+
+@pytest.mark.parametrize("text", SAMPLES)
+def test_base_spans(text):
+    assert pii.base_spans(text or "") == brute(text)
+
+
+def test_whole_documents(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10_000 + i, t) for i, t in enumerate(SAMPLES)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, spans string, n_email int")
+    found = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    assert len(found) == len(docs)
+    for i, t in docs:
+        base, r = brute(t), found[i]
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(b[2] == k for b in base) for k in pii.BASE_KINDS]
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        every = r["spans"].split(",") if r["spans"] else []
+        assert set(pii.joined(base).split(",")) - {""} <= set(every)
+        starts = [int(s.split(":")[1]) for s in every]
+        assert starts == sorted(starts)
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_model_adds_secrets_and_leaves_order_numbers():
+    trees, limits = pii.model()
+    (base, spans), (_, none) = pii.redactions(['api key = "Zx81kQ0pLmN4vR7t2YwB" ok', "order no 20240117 of build 7731942 in 1999"], trees, limits)
+    assert base == [] and [s[2] for s in spans] == ["secret"] and none == []
+
+
+def test_held_out_accuracy():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(99)
+    made = [pii._made_up(rng) for _ in range(1500)]
+    trees, limits = pii.model()
+    p = trees.probability(np.array([pii.features(t, s, e, k) for t, s, e, k, _ in made]))
+    said, truth = np.array([q >= limits[m[3]] for q, m in zip(p, made)]), np.array([m[4] for m in made]) == 1
+    assert (said & truth).sum() / said.sum() > 0.95 and (said & truth).sum() / truth.sum() > 0.8
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "to a@b.com now", "s", 14), (2, None, "s", None), (3, "", "s", 0)], "doc_id long, text string, source string, n_chars long")
+    assert sorted(map(tuple, pii.redact_documents(df).collect())) == [(1, "to [EMAIL] now", "s", 14), (2, None, "s", None), (3, "", "s", 0)]
+
+
+def test_trees_learn_an_interaction():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] > 0) & (x[:, 1] > 0)).astype(float)
+    model = Boosted().fit(x[:500], y[:500]).calibrate(x[500:650], y[500:650])
+    p = model.probability(x[650:])
+    assert ((p > 0.5) == (y[650:] > 0)).mean() > 0.93 and abs(p.mean() - y[650:].mean()) < 0.06
