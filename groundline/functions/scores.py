@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,6 +77,29 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return dot(a, b) / (((norm(a) if norm_a is None else norm_a) + EPSILON) * ((norm(b) if norm_b is None else norm_b) + EPSILON))
 
 
+def greedy_similarity(candidate: Column, reference: Column, baseline: float = 0.0) -> Column:
+    """``struct(precision, recall, f1)`` of token embeddings, arrays of vectors: each token's best cosine on the other side, on average.
+
+    ``baseline`` is what unrelated texts score; scores are rescaled so that it becomes 0. An empty side scores 0.
+    """
+    @F.pandas_udf("precision double, recall double, f1 double")
+    def scored(c: pd.Series, r: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(c, r, strict=True):
+            if a is None or b is None or not len(a) or not len(b):
+                rows.append((0.0, 0.0, 0.0))
+                continue
+            x, y = (np.array([np.asarray(v, float) for v in m]) for m in (a, b))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+            s = x @ y.T
+            p, q = s.max(axis=1).mean(), s.max(axis=0).mean()
+            f = 2 * p * q / (p + q) if p + q else 0.0
+            rows.append(tuple((v - baseline) / (1 - baseline) for v in (p, q, f)))
+        return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
+
+    return scored(candidate, reference)
+
+
 def dense_score(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - distance)
 

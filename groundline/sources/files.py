@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundline.functions.text import char_windows, chunk_id, chunked, first_present, word_windows
+from groundline.functions.text import char_windows, chunk_id, chunked, cleaned, first_present, rendered, word_windows
 
 # What file names are read as.
 KINDS = {".pdf": "pages", ".txt": "text", ".md": "text"}
@@ -70,6 +70,30 @@ def articles(rows: DataFrame, order: Column, limit: int | None = None) -> DataFr
     return numbered.select(F.substring(title, 1, 100).alias("title"), text.alias("text")).where("text <> ''")
 
 
+# The columns of a source article and the labels they are rendered under.
+ARTICLE = {
+    "groups": ({"Type": "filter_type", "Year": "filter_year", "Rating": "Max Rating"}, {"Studio": "Animation Work", "Director": "Direction", "Music": "Music", "Original Work": "Original Work"}, {"Episodes": "Episode", "Duration": "Duration"}),
+    "title": "Main Title", "titles": {"English Title": "Official Title (en)", "Japanese Title": "Official Title (ja)"}, "tail": (("Synopsis", "Synopsis", ""), ("Tags", "processed_tags", ".")), "number": "Anime_",
+}
+
+
+def structured_articles(rows: DataFrame, order: Column, limit: int | None = None, layout: dict = ARTICLE, least: int = 20) -> DataFrame:
+    """``(title, text)`` of a dataset of described things: every column the layout names, under its label, that has a value.
+
+    Columns that the dataset lacks count as empty, a missing title is a number in ``order``; texts under ``least`` characters are
+    left out and titles cut to 200. ``limit`` takes the first rows by ``order``.
+    """
+    taken = (rows.orderBy(order).limit(limit) if limit else rows).withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
+
+    def value(name: str) -> Column:
+        return cleaned(F.col(f"`{name}`")) if name in rows.columns else F.lit("")
+
+    shown = {k: F.when(value(name) != "", F.concat(value(name), F.lit("/10"))).otherwise("") if k == "Rating" else value(name) for g in layout["groups"] for k, name in g.items()}
+    title = F.when(value(layout["title"]) != "", value(layout["title"])).otherwise(F.concat(F.lit(layout["number"]), F.col("_n").cast("string")))
+    text = rendered([{k: shown[k] for k in g} for g in layout["groups"]], [(k, value(c), end) for k, c, end in layout["tail"]], title, [(k, value(c)) for k, c in layout["titles"].items()])
+    return taken.select(F.substring(title, 1, 200).alias("title"), text.alias("text")).where(F.length("text") >= least)
+
+
 def vector_rows(arts: DataFrame, embedding: Callable[[Column], Column], size: int = 500, overlap: int = 50) -> DataFrame:
     """Rows of a vector collection: ``(id, document, embedding, source, chunk_index)`` of every chunk of articles."""
     each = chunked(arts, char_windows(F.col("text"), size, overlap))

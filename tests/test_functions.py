@@ -135,3 +135,11 @@ def test_retries():
     assert providers.retried(call, sleep=waits.append) == "x" and waits == [2.0, 4.0]
     with pytest.raises(ConnectionError):
         providers.retried(lambda: (_ for _ in ()).throw(ConnectionError()), sleep=waits.append)
+
+
+def test_greedy_similarity(spark):
+    a, b = [[1.0, 0.0], [0.0, 2.0]], [[3.0, 0.0]]
+    df = spark.createDataFrame([(a, a), (a, b), (a, []), (None, b)], "c array<array<double>>, r array<array<double>>")
+    found = [tuple(round(x, 4) for x in r["s"]) for r in df.select(scores.greedy_similarity(F.col("c"), F.col("r")).alias("s")).collect()]
+    assert found == [(1.0, 1.0, 1.0), (0.5, 1.0, 0.6667), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    assert df.select(scores.greedy_similarity(F.col("c"), F.col("r"), 0.5).alias("s")).first()["s"]["f1"] == pytest.approx(1.0)

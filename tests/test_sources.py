@@ -35,6 +35,16 @@ def test_articles(spark):
     assert files.articles(plain, F.col("id"), 1).count() == 1
 
 
+def test_structured_articles(spark):
+    rows = spark.createDataFrame(
+        [(0, "Monster", "Monster", "TV", "2004", "8.8", "nan", "A doctor saves a boy.", None), (1, "None", " X ", None, "", None, None, None, "drama"), (2, None, None, None, None, None, None, None, None)],
+        "id int, `Main Title` string, `Official Title (en)` string, filter_type string, filter_year string, `Max Rating` string, Direction string, Synopsis string, processed_tags string",
+    )
+    found = {r["title"]: r["text"] for r in files.structured_articles(rows, F.col("id")).collect()}
+    assert found == {"Monster": "Title: Monster. Type: TV. Year: 2004. Rating: 8.8/10. Synopsis: A doctor saves a boy.", "Anime_1": "Title: Anime_1. English Title: X. Tags: drama."}
+    assert files.structured_articles(rows, F.col("id"), 1).count() == 1
+
+
 def test_store(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "g"))
     assert store.write_triples(triples(spark, ("A", "p", "B", "f", 0))) == 1
