@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.functions.text import char_windows, chunk_id, chunked, cleaned, first_present, rendered, word_windows
+from groundline.sources.scratch import written
 
 # What file names are read as.
 KINDS = {".pdf": "pages", ".txt": "text", ".md": "text"}
@@ -54,20 +55,33 @@ def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], Iterab
 
 
 def chunks_of(pages: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
-    """Chunks of word windows, cut page by page: ``(text, source_file, chunk_index, page_num)``, the index running on through a file's pages."""
-    each = chunked(pages, word_windows(F.col("text"), size, overlap)).withColumnRenamed("chunk_index", "_pos")
-    place = Window.partitionBy("source_file").orderBy(F.asc_nulls_first("page_num"), "_pos")
-    return each.select("text", "source_file", (F.row_number().over(place) - 1).alias("chunk_index"), "page_num")
+    """Chunks of word windows, cut page by page: ``(text, source_file, chunk_index, page_num)``, the index running on through a file's pages. What is
+    summed up along a file is one count a page, not its chunks."""
+    cut = pages.withColumn("_windows", word_windows(F.col("text"), size, overlap))
+    counts = cut.select(F.col("source_file").alias("_file"), F.col("page_num").alias("_page"), F.size("_windows").alias("_n"))
+    before = Window.partitionBy("_file").orderBy(F.asc_nulls_first("_page")).rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_file", "_page", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = cut.join(base, (F.col("source_file") == F.col("_file")) & F.col("page_num").eqNullSafe(F.col("_page")))
+    return placed.select(F.posexplode("_windows").alias("_pos", "text"), "source_file", "page_num", "_base").select("text", "source_file", (F.col("_base") + F.col("_pos")).cast("int").alias("chunk_index"), "page_num")
+
+
+def numbered(rows: DataFrame, order: Column, name: str) -> DataFrame:
+    """``rows`` with their place in ``order``, from 0, as ``name``. Ranges of rows are numbered side by side: only one count per range meets the others."""
+    ranged = written(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    base = counts.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    return ranged.withColumn("_own", own).join(base, F.col("_range") == F.col("_r")).withColumn(name, F.col("_base") + F.col("_own")).drop("_range", "_r", "_own", "_base")
 
 
 def articles(rows: DataFrame, order: Column, limit: int | None = None) -> DataFrame:
     """``(title, text)`` of a dataset of any columns: the first of ``context, text, passage`` it has, and of ``title, question`` or a
     number. Titles are cut to 100 characters, rows without text left out; ``limit`` takes the first rows by ``order``."""
     taken = rows.orderBy(order).limit(limit) if limit else rows
-    numbered = taken.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1) if not {"title", "question"} & set(rows.columns) else taken.withColumn("_n", F.lit(0))
+    placed = taken.withColumn("_n", F.lit(0)) if {"title", "question"} & set(rows.columns) else numbered(taken, order, "_n")
     title = first_present(rows, ("title", "question"), F.concat(F.lit("Doc_"), F.col("_n").cast("string")))
     text = first_present(rows, ("context", "text", "passage"), F.lit(""))
-    return numbered.select(F.substring(title, 1, 100).alias("title"), text.alias("text")).where("text <> ''")
+    return placed.select(F.substring(title, 1, 100).alias("title"), text.alias("text")).where("text <> ''")
 
 
 # The columns of a source article and the labels they are rendered under.
@@ -83,7 +97,7 @@ def structured_articles(rows: DataFrame, order: Column, limit: int | None = None
     Columns that the dataset lacks count as empty, a missing title is a number in ``order``; texts under ``least`` characters are
     left out and titles cut to 200. ``limit`` takes the first rows by ``order``.
     """
-    taken = (rows.orderBy(order).limit(limit) if limit else rows).withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
+    taken = numbered(rows.orderBy(order).limit(limit) if limit else rows, order, "_n")
 
     def value(name: str) -> Column:
         return cleaned(F.col(f"`{name}`")) if name in rows.columns else F.lit("")
