@@ -13,7 +13,6 @@ Word counts for the base score go the same way. So what a task holds depends on
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count as count_up
@@ -27,9 +26,8 @@ from pyspark.sql import functions as F
 from groundline.llm.common import binary, block_of, pack, pieces, runs, text_bytes, unpack, written
 
 ORDER = 5
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK = 1 << 18
-#: Stands for the end of a text among words; no word contains a line feed.
+#: Stands for the end of a text among words, which are what bytes split into at ASCII white space; no word contains a line feed.
 END = b"\n"
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -195,10 +193,10 @@ def asks(table: pa.Table, n_grams: int, n_words: int) -> pa.Table:
     train, rest = [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h]
     k, c = summed(*map(list, zip(gram_counts(train, 1), gram_counts(rest, 0), strict=True)))
     bucket = gram_bucket(k, n_grams)
-    words = Counter(w for some in chunks(train) for w in WORDS.findall(b"\n".join(some)))
+    words = Counter(w for some in chunks(train) for w in b"\n".join(some).split())
     words[END] += len(train)
     for some in chunks(rest):
-        words.update(dict.fromkeys(WORDS.findall(b"\n".join(some)), 0))
+        words.update(dict.fromkeys(b"\n".join(some).split(), 0))
     wk, wc = summed([word_keys(list(words))], [np.fromiter(words.values(), np.int64, len(words))])
     rows = []
     for key, count, of, shift in ((k, c, bucket, 0), (wk, wc, (wk % np.uint64(n_words)).astype(np.int64), n_grams)):
@@ -253,7 +251,7 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
             value[order[ends[b]:ends[b + 1]]] = unpack(by_bucket[b][1], "f4")
     number: defaultdict[bytes, int] = defaultdict(count_up().__next__)
     end = number[END]
-    tokens = [np.fromiter(map(number.__getitem__, found := WORDS.findall(t)), np.int32, len(found)) for t in texts]
+    tokens = [np.fromiter(map(number.__getitem__, found := t.split()), np.int32, len(found)) for t in texts]
     wk = word_keys(list(number))
     uniq, back = np.unique(wk, return_inverse=True)
     count = np.empty(len(uniq), np.int64)
