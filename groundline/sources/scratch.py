@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The scratch folder of a session that names none (tests, local mode).
 _OWN: dict[str, str] = {}
+#: Scratch tables of this driver that are still there.
+_TABLES: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -22,5 +24,15 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes this driver's scratch tables and counts them. Results that are still lazy may read them, so call it once they are written."""
+    n = len(_TABLES)
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

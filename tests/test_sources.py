@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from groundline import providers
 from groundline.plans import orchestrate
-from groundline.sources import files
+from groundline.sources import files, scratch
 from groundline.sources.store import GraphStore
 from groundline.streaming import stop_tag
 from groundline.streaming.ingest import ingest_stream
@@ -133,3 +133,17 @@ def test_orchestration(spark):
     assert results == {1: ("cats are animals [1]", "Cats are animals. [1]", 1), 2: ("because [1]", "because [1]", 1), 3: ("again", "again", 3)}
     assert sorted((r["run_id"], r["iteration"], r["query"]) for r in found.events.collect()) == [(1, 1, "cats"), (2, 1, "[FALLBACK] why"), (3, 1, "loop"), (3, 2, "loop"), (3, 3, "loop")]
     assert found.sources.count() == 3
+
+
+def test_scratch_tables_go(spark):
+    scratch.clear(spark)
+    kept = scratch.written(spark.range(3), "t")
+    assert kept.count() == 3 and kept.inputFiles()[0].startswith("file:")
+    assert scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(kept.inputFiles()[0])
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, "x") for i in range(101)], "id int, t string").repartition(7)
+    assert all(r["n"] == r["id"] for r in files.numbered(rows, F.col("id"), "n").collect())
