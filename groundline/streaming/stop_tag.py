@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,23 +43,29 @@ def generations(tokens: DataFrame) -> DataFrame:
 
 
 class StopTag(StatefulProcessor):
-    """Keeps a generation's text until its first whole tag or its end, tells it once, and forgets the text."""
+    """Keeps a generation's text until its first whole tag or its end, tells it once, and forgets the text.
+
+    Tokens count from 0 and are taken up in that order: one that comes before its turn waits in the state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("generation", "text string, finished boolean")
+        self.state = handle.getValueState("generation", "text string, turn int, finished boolean, waiting string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        text, finished = self.state.get() if self.state.exists() else ("", False)
+        text, turn, finished, waiting = self.state.get() if self.state.exists() else ("", 0, False, "{}")
+        held = json.loads(waiting)
         out = []
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if finished:
-                break
-            text += row.response or ""
-            head, query, stopped = stop_text(text)
-            if stopped or row.done:
-                finished = True
-                out.append((key[0], head, query, stopped))
-        self.state.update(("" if finished else text, finished))
+        if not finished:
+            for row in pd.concat(list(rows)).itertuples():
+                held.setdefault(str(row.seq), [row.response or "", bool(row.done)])
+            while not finished and str(turn) in held:
+                token, done = held.pop(str(turn))
+                text, turn = text + token, turn + 1
+                head, query, stopped = stop_text(text)
+                if stopped or done:
+                    finished = True
+                    out.append((key[0], head, query, stopped))
+        self.state.update(("" if finished else text, turn, finished, "{}" if finished else json.dumps(held)))
         yield pd.DataFrame(out, columns=["gen_id", "text", "query", "stopped"])
 
     def close(self) -> None:

@@ -96,9 +96,8 @@ def test_stop_tag_stream(spark, tmp_path):
     import json
 
     for n in range(0, len(lines), 2):
-        (tmp_path / f"in{n}").mkdir()
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{n:03d}.json").write_text("\n".join([*(json.dumps(x) for x in lines[n:n + 2]), "not json"]))
+        (tmp_path / "in" / f"{n * 7 % 9:03d}.json").write_text("\n".join([*(json.dumps(x) for x in lines[n:n + 2]), "not json"]))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = stop_tag.token_lines(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(tmp_path / "in")))
     query = stop_tag.detected(stream).writeStream.format("memory").queryName("stops").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
