@@ -261,8 +261,7 @@ def answer_stretches(table: pa.Table) -> pa.Table:
         n = low[i + 1] - low[i]
         take = np.repeat(low[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         name, before = np.repeat(mine, n), np.repeat(had, n)
-        # the block's own smallest owner may be told too: other documents of the block have the stretch as well
-        keep = smallest[take] <= before
+        keep = smallest[take] < before  # what the block itself holds it knows
         take, name = take[keep], name[keep]
         rows.append((block, bucket, pack(name), pack(first[take].astype(np.uint8)), pack(end[take].astype(np.uint8)), pack(smallest[take])))
     return _table(rows, ["block", "bucket", "names", "firsts", "ends", "owners"])
@@ -283,9 +282,15 @@ def cut_out(docs: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
     which, part = np.repeat(np.arange(len(n)), n), order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     mine = owners[part] < ids[s.text[which]]
     which, part = which[mine], part[mine]
+    # whole stretches that a smaller document of the block has too
+    by_name = np.lexsort((ids[s.text], s.name))
+    at = runs(s.name[by_name])
+    least = np.empty(len(by_name), np.int64)
+    least[by_name] = np.repeat(ids[s.text[by_name[at]]], np.diff(np.r_[at, len(by_name)]))
+    own = np.flatnonzero(least < ids[s.text])
     step = np.zeros(sum(map(len, texts)) + 1, np.int64)
-    np.add.at(step, s.begin[which] + firsts[part], 1)
-    np.add.at(step, s.begin[which] + ends[part].astype(np.int64) + LENGTH - 1, -1)
+    np.add.at(step, np.r_[s.begin[which] + firsts[part], s.begin[own]], 1)
+    np.add.at(step, np.r_[s.begin[which] + ends[part].astype(np.int64), s.begin[own] + s.windows[own]] + LENGTH - 1, -1)
     gone = np.cumsum(step[:-1]) > 0
     rows, begin = [], 0
     for i, t in zip(docs.column("doc_id").to_pylist(), texts, strict=True):
