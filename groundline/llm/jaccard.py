@@ -184,7 +184,8 @@ class Lists:
         at = at[np.argsort(length, kind="stable")]
         n_long = min(least - 1, max(0, int(least / (MU * np.log2(length.max() + 1) + 1))))
         short, long = at[:len(at) - n_long], at[len(at) - n_long:]
-        merged = np.sort(np.concatenate([self.postings[self.begin[t]:self.end[t]] for t in short]))
+        # a stable sort merges the runs that it finds: the heap merge of sorted lists, in one call
+        merged = np.sort(np.concatenate([self.postings[self.begin[t]:self.end[t]] for t in short]), kind="stable")
         first = runs(merged)
         found, count = merged[first], np.diff(np.r_[first, len(merged)])
         need = -(-num * (size + self.sizes[found]) // (num + den))
@@ -252,7 +253,7 @@ def candidate_tasks(nodes: DataFrame, group: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents ``(doc_id, row, n_shingles, node)``, different sets ``(node, label, n_links)``, and the lead of each label
     ``(label, lead)``: the ``doc_id`` and ``row``, a hash of id and text, of the smallest id that links reach.
 
