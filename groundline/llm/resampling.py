@@ -8,6 +8,10 @@ over its weakest stretch of words, so that neither length nor a good beginning h
 
 The number kept is the number of documents at or over the cut, and Gumbel noise of a small scale on each importance decides
 which: top-k of noisy log weights is sampling without replacement in proportion to the tempered weights.
+
+Toxic text in good prose has a model of its own, since a few words don't move a mean: the log ratio of words and word pairs
+between labelled toxic and labelled good documents, counted once a document. A document's toxicity is the sum over its
+``WORST`` terms, and its cut is set by the labelled half that fits neither model. Either model rejects.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from itertools import count as count_up
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.llm.common import WORD, binary, pack, parts_of, unpack, written
@@ -34,6 +38,10 @@ PRIOR = 10.0
 #: Words in a stretch over which weights are averaged; a shorter text is one stretch.
 STRETCH = 48
 EMPTY = -99.0
+#: The toxic model: terms of the largest log ratios, in so many labelled toxic documents at least; the worst so many of a text count.
+MAX_TERMS, LEAST_TOXIC, TERM_PRIOR, WORST = 1 << 16, 2, 0.5, 2
+FILTER_BITS = 20
+OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _shape(word: str) -> int:
@@ -97,6 +105,62 @@ def importance(texts: list[str], weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, in lower case without outer symbols, and of their pairs; and the text of each."""
+    number: defaultdict[str, int] = defaultdict(count_up().__next__)
+    found = [np.fromiter(map(number.__getitem__, words := FIND(t)), np.int32, len(words)) for t in texts]
+    if not number:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bare = np.array([w.lower() if w.isalnum() else OUTER.sub("", w.lower()) for w in number], dtype=object)
+    ids, text = np.concatenate(found), np.repeat(np.arange(len(found)), list(map(len, found)))
+    some = (bare != "")[ids]
+    h, text = pd.util.hash_array(bare, categorize=False)[ids[some]], text[some]
+    pair = text[1:] == text[:-1]
+    pairs = _mixed(h[1:] * np.uint64(3) + h[:-1] * np.uint64(0xBF58476D1CE4E5B9), 64)
+    return np.r_[h.view(np.int64), pairs[pair]], np.r_[text, text[1:][pair]]
+
+
+def toxicity(texts: list[str], known: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each text's sum of the ``WORST`` weights among its terms; ``known`` terms are sorted, others weigh nothing."""
+    out = np.zeros(len(texts))
+    if len(known):
+        table = np.zeros(1 << FILTER_BITS, bool)
+        table[known & ((1 << FILTER_BITS) - 1)] = True
+        term, text = terms(texts)
+        at = table[term & ((1 << FILTER_BITS) - 1)]
+        term, text = term[at], text[at]
+        place = np.minimum(np.searchsorted(known, term), len(known) - 1)
+        at = known[place] == term
+        found = np.unique(np.stack([text[at], place[at]], axis=1), axis=0)
+        found = found[np.lexsort((-weight[found[:, 1]], found[:, 0]))]
+        rank = np.arange(len(found)) - np.searchsorted(found[:, 0], found[:, 0])
+        worst = found[rank < WORST]
+        out += np.bincount(worst[:, 0], weights=weight[worst[:, 1]], minlength=len(texts))
+    return out
+
+
+def _terms_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's terms once, and a null for the document itself."""
+    for batch in batches:
+        for part in parts_of(batch, "text"):
+            term, text = terms([t or "" for t in part.column("text").to_pylist()])
+            once = np.unique(np.stack([text, term], axis=1), axis=0)
+            n, toxic = part.num_rows, np.array(part.column("role").to_pylist(), dtype=object) == "toxic"
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(n, np.int64), once[:, 1]], mask=np.arange(n + len(once)) < n), pa.array(np.r_[toxic, toxic[once[:, 0]]].astype(np.int32))], ["term", "toxic"])
+
+
+def toxic_model(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their weights from ``labelled(text, role)`` of roles toxic and target: positive log ratios alone."""
+    counts = labelled.mapInArrow(_terms_counted, "term long, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = written(counts.where(F.col("term").isNull() | (F.col("t") >= LEAST_TOXIC)), "toxic-terms")
+    total = counts.where("term is null").first()
+    if total is None or not total["t"] or not total["c"]:
+        return np.zeros(0, np.int64), np.zeros(0)
+    weight = F.log((F.col("t") + TERM_PRIOR) / (F.col("c") * (total["t"] / total["c"]) + TERM_PRIOR))
+    best = counts.where("term is not null").select("term", weight.alias("weight")).where("weight > 0").orderBy(F.desc("weight"), "term").limit(MAX_TERMS).toPandas().sort_values("term")
+    return best["term"].to_numpy(np.int64), best["weight"].to_numpy(float)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's rows: by model (0 raw, 1 target) and slice of the n-gram numbers, one packed row each."""
     raw, target, any_target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), False
@@ -133,32 +197,32 @@ def cut_of(clean: np.ndarray, bad: np.ndarray, clean_loss: float) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: ``doc_id, importance, sampled_key, kept``.
+    """One row per document: ``doc_id, importance, sampled_key, toxicity, kept``.
 
     ``labels(doc_id, quality, toxic)``: documents of quality 1 that aren't toxic are the target. At most ``max_labelled`` labelled
     ids are used, in the order of a hash; all counts and importances are of all documents. Without any label of a target
-    document every document is kept. A null or empty text has the lowest importance and goes once there is a target. An id that
+    document every document is kept, and without labels of toxic ones none goes for its toxicity. A null or empty text has the lowest importance and goes once there is a target. An id that
     is labelled more than once is a target only if all its labels say so. Keys are drawn from id and text, so rows equal in both
     share one and stay or go together. An empty table gives none; other columns are left out, so none can clash.
     """
-    rated, least = rate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, carry=("doc_id",), **options)
-    return rated.select("doc_id", F.col("_importance").alias("importance"), F.col("_key").alias("sampled_key"), (F.col("_key") >= least).alias("kept"))
+    rated, keep = rate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, carry=("doc_id",), **options)
+    return rated.select("doc_id", F.col("_importance").alias("importance"), F.col("_key").alias("sampled_key"), F.col("_toxicity").alias("toxicity"), keep.alias("kept"))
 
 
 def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that :func:`classify` keeps, with all their columns. The text passes through once and isn't shuffled."""
-    rated, least = rate(docs.withColumns({"doc_id": F.col(id_col), "text": F.col(text_col)}), labels, carry=tuple(docs.columns), **options)
-    return rated.where(F.col("_key") >= least).select(*docs.columns)
+    rated, keep = rate(docs.withColumns({"doc_id": F.col(id_col), "text": F.col(text_col)}), labels, carry=tuple(docs.columns), **options)
+    return rated.where(keep).select(*docs.columns)
 
 
 def rate(
     source: DataFrame, labels: DataFrame, *, carry: tuple[str, ...], max_labelled: int = MAX_LABELLED, clean_loss: float = 0.001, noise: float = 0.001, seed: int = 5,
-) -> tuple[DataFrame, float]:
-    """``carry`` of ``source(doc_id, text, ...)`` with ``_importance`` and ``_key``, written out; and the least key that is kept."""
+) -> tuple[DataFrame, Column]:
+    """``carry`` of ``source(doc_id, text, ...)`` with ``_importance``, ``_key`` and ``_toxicity``, written out; and which are kept."""
     good = F.min(((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int"))
-    label = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(good.alias("_good")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
+    label = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(good.alias("_good"), F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")).alias("_toxic")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
     fits = F.pmod(F.xxhash64("_label_id", F.lit(seed)), F.lit(2)) == 0
-    role = F.when(F.col("_good").isNull(), "none").when(fits & (F.col("_good") == 1), "target").when(fits, "none").when(F.col("_good") == 1, "clean").otherwise("bad")
+    role = F.when(F.col("_good").isNull(), "none").when(fits & (F.col("_good") == 1), "target").when(fits & (F.col("_toxic") == 1), "toxic").when(fits, "none").when(F.col("_good") == 1, "clean").when(F.col("_toxic") == 1, "foul").otherwise("bad")
     joined = source.join(F.broadcast(written(label, "labels")), F.col("doc_id") == F.col("_label_id"), "left").withColumns({"_role": role, "_draw": F.xxhash64(F.lit(seed + 1), "doc_id", "text")})
 
     models = joined.select("text", F.col("_role").alias("role")).mapInArrow(_counted, "model int, slice int, counts binary").groupBy("model", "slice").applyInArrow(_added, "model int, slice int, counts binary").collect()
@@ -167,20 +231,24 @@ def rate(
         width = SIZE // SLICES
         counts[row["model"], row["slice"] * width:(row["slice"] + 1) * width] = unpack(bytes(row["counts"]), "i8")
     weight = weights(counts[1], counts[0])
+    known_terms, term_weight = toxic_model(joined.where(F.col("_role").isin("target", "toxic")).select("text", F.col("_role").alias("role")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, "_text"):
-                value = importance([t or "" for t in part.column("_text").to_pylist()], weight)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*carry, "_role", "_draw"]), pa.array(value, pa.float64())], [*carry, "_role", "_draw", "_importance"])
+                texts = [t or "" for t in part.column("_text").to_pylist()]
+                value, toxic = importance(texts, weight), toxicity(texts, known_terms, term_weight)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*carry, "_role", "_draw"]), pa.array(value, pa.float64()), pa.array(toxic, pa.float64())], [*carry, "_role", "_draw", "_importance", "_toxicity"])
 
     taken = joined.select(*carry, F.col("text").alias("_text"), "_role", "_draw")
     fields = ", ".join(f"`{c}` {taken.schema[c].dataType.simpleString()}" for c in [*carry, "_role", "_draw"])
     u = (F.pmod("_draw", F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rated = written(taken.mapInArrow(measure, f"{fields}, _importance double").withColumn("_key", F.col("_importance") - noise * F.log(-F.log(u))), "importance")
-    known = rated.where(F.col("_role").isin("clean", "bad")).select("_role", "_importance").toPandas()  # rows of at most max_labelled ids
-    value = {r: known.loc[known["_role"] == r, "_importance"].to_numpy() for r in ("clean", "bad")}
-    return rated, least_key(rated, cut_of(value["clean"], value["bad"], clean_loss))
+    rated = written(taken.mapInArrow(measure, f"{fields}, _importance double, _toxicity double").withColumn("_key", F.col("_importance") - noise * F.log(-F.log(u))), "importance")
+    known = rated.where(F.col("_role").isin("clean", "bad", "foul")).select("_role", "_importance", "_toxicity").toPandas()  # rows of at most max_labelled ids
+    is_clean, is_foul = known["_role"] == "clean", known["_role"] == "foul"
+    least = least_key(rated, cut_of(known.loc[is_clean, "_importance"].to_numpy(), known.loc[~is_clean, "_importance"].to_numpy(), clean_loss))
+    most = -cut_of(-known.loc[is_clean, "_toxicity"].to_numpy(), -known.loc[is_foul, "_toxicity"].to_numpy(), clean_loss) if is_foul.any() else float("inf")
+    return rated, (F.col("_key") >= least) & (F.col("_toxicity") <= most)
 
 
 def least_key(rated: DataFrame, cut: float, step: float = 1e-4) -> float:

@@ -84,6 +84,14 @@ def test_resampling(spark):
     assert {(r["doc_id"], r["kept"]) for r in again.collect()} == {(r["doc_id"], r["kept"]) for r in resampling.classify(docs, labels).collect()}
 
 
+def test_resampling_rejects_toxic_prose(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = labels.where("doc_id % 4 = 0 and quality = 1")
+    rows = resampling.classify(docs, labels.where("doc_id % 4 <> 0")).join(held, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    gone = lambda toxic, lang=None: np.mean([not r["kept"] for r in rows if r["toxic"] == toxic and lang in (None, r["lang"])])
+    assert gone(1, "en") > 0.95 and gone(1) > 0.75 and gone(0) < 0.01
+
+
 def test_resampling_edges(spark):
     docs = spark.createDataFrame([(1, "good words here", 0.5), (2, None, 0.5), (None, "", 0.5), (3, "x " * 5000, 0.5), (3, "x " * 5000, 0.5)], "doc_id long, text string, importance double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
