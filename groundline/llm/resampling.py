@@ -131,11 +131,12 @@ def toxicity(texts: list[str], known: np.ndarray, weight: np.ndarray) -> np.ndar
         term, text = term[at], text[at]
         place = np.minimum(np.searchsorted(known, term), len(known) - 1)
         at = known[place] == term
-        found = np.unique(np.stack([text[at], place[at]], axis=1), axis=0)
-        found = found[np.lexsort((-weight[found[:, 1]], found[:, 0]))]
-        rank = np.arange(len(found)) - np.searchsorted(found[:, 0], found[:, 0])
-        worst = found[rank < WORST]
-        out += np.bincount(worst[:, 0], weights=weight[worst[:, 1]], minlength=len(texts))
+        order = np.argsort(-weight, kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        text, term = np.divmod(np.unique(text[at] * len(known) + rank[place[at]]), len(known))
+        worst = np.arange(len(text)) - np.searchsorted(text, text) < WORST
+        out += np.bincount(text[worst], weights=weight[order[term[worst]]], minlength=len(texts))
     return out
 
 
@@ -144,9 +145,12 @@ def _terms_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for part in parts_of(batch, "text"):
             term, text = terms([t or "" for t in part.column("text").to_pylist()])
-            once = np.unique(np.stack([text, term], axis=1), axis=0)
+            order = np.lexsort((term, text))
+            term, text = term[order], text[order]
+            new = np.r_[True, (term[1:] != term[:-1]) | (text[1:] != text[:-1])][:len(term)]
+            term, text = term[new], text[new]
             n, toxic = part.num_rows, np.array(part.column("role").to_pylist(), dtype=object) == "toxic"
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(n, np.int64), once[:, 1]], mask=np.arange(n + len(once)) < n), pa.array(np.r_[toxic, toxic[once[:, 0]]].astype(np.int32))], ["term", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.zeros(n, np.int64), term], mask=np.arange(n + len(term)) < n), pa.array(np.r_[toxic, toxic[text]].astype(np.int32))], ["term", "toxic"])
 
 
 def toxic_model(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
