@@ -3,8 +3,9 @@
 Words become template tokens: numbers, units and names are typed placeholders, other words their lower-case form without
 outer punctuation. Windows of template tokens are hash-joined between documents and benchmark items, so a question whose
 numbers or names were changed still meets its original. Where windows of an item lie on one alignment in a document, the
-placeholders must agree: one benchmark value stands for one document value and the other way round. A document that holds
-enough of an item's windows on consistent alignments is contaminated, by a verbatim or by a re-parameterised copy.
+placeholders must agree: a benchmark value stands for one document value, and windows of a slot that disagrees don't count.
+Windows of plain lower-case words are joined beside them, so a copy in other capitals counts. A document that holds enough
+of an item's windows of either sort is contaminated, by a verbatim or by a re-parameterised copy.
 
 The benchmark is the stated query set: its index goes to the tasks in parts of at most ``part_bytes`` of text, one pass over
 the documents each, so what is sent has a bound whatever the benchmark's size.
@@ -13,7 +14,7 @@ the documents each, so what is sent has a bound whatever the benchmark's size.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -95,42 +96,55 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+Windows = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 @dataclass
 class Index:
-    """A part of the benchmark: its items' tokens, and their windows sorted by hash. Items under ``width`` words are one window."""
+    """A part of the benchmark: its items' tokens, and their windows sorted by hash, of template tokens and of plain words. Items
+    under ``width`` words are one window."""
 
     ids: list[int]
     items: list[Tokens]
     totals: list[int]
-    widths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    widths: Windows
+    plain_totals: list[int]
+    plain_widths: Windows
 
     @staticmethod
     def build(rows: list[tuple[int, str | None]], width: int) -> Index:
         ids, items = [i for i, _ in rows], [tokens([t or ""]) for _, t in rows]
-        totals, found = [], defaultdict(list)
-        for n, t in enumerate(items):
-            w = min(width, len(t.codes))
-            hashes = window_hashes(t.codes, w) if w else np.zeros(0, np.uint64)
-            literal = np.convolve(t.kinds == WORD_KIND, np.ones(w, int), "valid") if w else np.zeros(0, int)
-            use = np.flatnonzero(literal >= min(LITERALS, w))
-            totals.append(len(use))
-            found[w] += [(hashes[p], n, p) for p in use]
-        widths = {}
-        for w, some in found.items():
-            if some:
-                h = np.array([x[0] for x in some], np.uint64)
-                order = np.argsort(h, kind="stable")
-                table = np.zeros(1 << FILTER_BITS, bool)
-                table[h >> np.uint64(64 - FILTER_BITS)] = True
-                widths[w] = h[order], np.array([x[1] for x in some])[order], np.array([x[2] for x in some])[order], table
-        return Index(ids, items, totals, widths)
-
-
-def _hits(t: Tokens, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        template = _filed([(t.codes, t.kinds == WORD_KIND) for t in items], width)
+        plain = _filed([(t.values, (t.kinds == WORD_KIND) | (t.kinds == NAME)) for t in items], width)
+        return Index(ids, items, *template, *plain)
+
+
+def _filed(items: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[list[int], Windows]:
+    """Each item's number of windows with enough literals, and all of them by width, from its codes and which are literals."""
+    totals, found = [], defaultdict(list)
+    for n, (codes, literal) in enumerate(items):
+        w = min(width, len(codes))
+        hashes = window_hashes(codes, w) if w else np.zeros(0, np.uint64)
+        n_literals = np.convolve(literal, np.ones(w, int), "valid") if w else np.zeros(0, int)
+        use = np.flatnonzero(n_literals >= min(LITERALS, w))
+        totals.append(len(use))
+        found[w] += [(hashes[p], n, p) for p in use]
+    widths = {}
+    for w, some in found.items():
+        if some:
+            h = np.array([x[0] for x in some], np.uint64)
+            order = np.argsort(h, kind="stable")
+            table = np.zeros(1 << FILTER_BITS, bool)
+            table[h >> np.uint64(64 - FILTER_BITS)] = True
+            widths[w] = h[order], np.array([x[1] for x in some])[order], np.array([x[2] for x in some])[order], table
+    return totals, widths
+
+
+def _hits(codes: np.ndarray, sizes: np.ndarray, widths: Windows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Windows that documents and items share: places in the documents' tokens, items, places in them, and the width."""
-    ends = np.cumsum(t.sizes)
-    for width, (hashes, items, places, table) in index.widths.items():
-        own = window_hashes(t.codes, width)
+    ends = np.cumsum(sizes)
+    for width, (hashes, items, places, table) in widths.items():
+        own = window_hashes(codes, width)
         at = np.flatnonzero(table[own >> np.uint64(64 - FILTER_BITS)])
         at = at[at + width <= ends[np.searchsorted(ends, at, side="right")]] if len(at) else at
         low, high = np.searchsorted(hashes, own[at], side="left"), np.searchsorted(hashes, own[at], side="right")
@@ -140,24 +154,41 @@ def _hits(t: Tokens, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             yield np.repeat(at, n), items[take], places[take], width
 
 
-def consistent(item: Tokens, doc: Tokens, item_at: np.ndarray, doc_at: np.ndarray) -> tuple[bool, bool]:
-    """Whether placeholders of aligned tokens agree one to one by kind, and whether any value was changed."""
-    slots = np.flatnonzero(item.kinds[item_at] != WORD_KIND)
-    pairs = {(int(item.kinds[item_at[s]]), int(item.values[item_at[s]]), int(doc.values[doc_at[s]])) for s in slots}
-    one = len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs})
-    return one, any(a != b for _, a, b in pairs)
+def consistent(item: Tokens, doc: Tokens, item_at: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which aligned tokens agree, and which are changed values. A changed value agrees where it is the one that stands most
+    often for the item's value; several values may become equal."""
+    agree = item.codes[item_at] == doc.codes[doc_at]
+    changed = (item.kinds[item_at] != WORD_KIND) & (item.values[item_at] != doc.values[doc_at])
+    if changed.any():
+        stands: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        slots = np.flatnonzero(agree & (item.kinds[item_at] != WORD_KIND))
+        triples = [(s, (int(item.kinds[item_at[s]]), int(item.values[item_at[s]])), int(doc.values[doc_at[s]])) for s in slots]
+        for _, key, value in triples:
+            stands[key][value] += 1
+        most = {key: max(c, key=lambda v: (c[v], v == key[1], v)) for key, c in stands.items()}
+        for s, key, value in triples:
+            agree[s] = value in (key[1], most[key])
+    return agree, changed
 
 
 def leaks(texts: list[str], index: Index, containment: float) -> list[list[tuple[int, float, bool]]]:
-    """For each text the items it holds: item id, share of the item's windows on consistent alignments, whether re-parameterised."""
+    """For each text the items it holds: item id, share of the item's windows that it holds, of plain words or on consistent
+    alignments, whichever is larger; whether re-parameterised."""
     t = tokens(texts)
     ends = np.cumsum(t.sizes)
+    found: list[dict[int, tuple[float, bool]]] = [{} for _ in texts]
+    plain: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for at, items, places, _ in _hits(t.values, t.sizes, index.plain_widths):
+        for d, i, p in zip(np.searchsorted(ends, at, side="right").tolist(), items.tolist(), places.tolist(), strict=True):
+            plain[d, i].add(p)
+    for (d, i), held in plain.items():
+        if len(held) >= containment * index.plain_totals[i]:
+            found[d][i] = len(held) / index.plain_totals[i], False
     windows: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for at, items, places, width in _hits(t, index):
+    for at, items, places, width in _hits(t.codes, t.sizes, index.widths):
         docs = np.searchsorted(ends, at, side="right")
         for d, i, a, p in zip(docs.tolist(), items.tolist(), at.tolist(), places.tolist(), strict=True):
             windows[d, i][a - p].append((p, width))
-    out: list[list[tuple[int, float, bool]]] = [[] for _ in texts]
     for (d, i), by_shift in windows.items():
         if len({p for some in by_shift.values() for p, _ in some}) < containment * index.totals[i]:
             continue
@@ -166,16 +197,17 @@ def leaks(texts: list[str], index: Index, containment: float) -> list[list[tuple
             if {p for p, _ in some} <= held:
                 continue
             item_at = np.unique(np.concatenate([np.arange(p, p + w) for p, w in some]))
-            same = index.items[i].codes[item_at] == t.codes[item_at + shift]
-            one, new = consistent(index.items[i], t, item_at, item_at + shift)
-            if same.all() and one:
-                held |= {p for p, _ in some}
-                changed |= new
+            agree, new = consistent(index.items[i], t, item_at, item_at + shift)
+            for p, w in some:
+                own = slice(k := int(np.searchsorted(item_at, p)), k + w)
+                if p not in held and agree[own].all():
+                    held.add(p)
+                    changed |= bool(new[own].any())
             if len(held) == index.totals[i]:
                 break
         if held and len(held) >= containment * index.totals[i]:
-            out[d].append((index.ids[i], len(held) / index.totals[i], changed))
-    return [sorted(x) for x in out]
+            found[d][i] = max(len(held) / index.totals[i], found[d].get(i, (0.0, False))[0]), changed
+    return [sorted((index.ids[i], *x) for i, x in f.items()) for f in found]
 
 
 MATCHES = "array<struct<item_id:bigint,containment:double,reparameterised:boolean>>"

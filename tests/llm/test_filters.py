@@ -62,6 +62,15 @@ def test_templates(spark, text, items, changed):
         assert (r["item_ids"], r["reparameterised"], r["kept"]) == (items, changed, not items)
 
 
+@pytest.mark.parametrize(("text", "changed"), [
+    (ITEM.upper(), False), (ITEM.title(), False), (ITEM.replace("Boston", "Chicago", 1), False), (ITEM.replace("120", "7").replace(" 2 ", " 7 ").replace(" 9 ", " 7 "), True),
+])
+def test_changed_case_and_slots_that_disagree(text, changed):
+    index = decontamination.Index.build([b[:2] for b in BENCHMARK[:5]], 5)
+    (found,) = decontamination.leaks([f"Words come before. {text} More words."], index, 0.5)
+    assert [(i, new) for i, _, new in found] == [(1, changed)]
+
+
 def test_leaks_against_brute_force(spark, sf):
     docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     found = {r["doc_id"]: r for r in decontamination.decontaminate(docs, benchmark).collect()}
