@@ -59,7 +59,17 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
+#: Licences whose text begins with that of another: the longer one holds where both match.
+EXTENDS = {"BSD-2-Clause": "BSD-3-Clause"}
 CUES = ("licen", "copyright", "spdx", "gpl", "apache", "cc by", "cc-by", "cc0", "permission to use", "permission is hereby", "redistribution and use", "public domain", "all rights reserved", "mozilla public", "creative commons", "unencumbered", "neither the name")
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
@@ -103,7 +113,9 @@ def nearest(piece: str) -> tuple[float, str]:
 
 
 def notice(text: str | None, least: float) -> tuple[str | None, float, int]:
-    """Licence, cosine and words of the best notice in a text; None, 0 and 0 without one."""
+    """Licence, cosine and words of the best notice in a text; None, 0 and 0 without one. All matched pieces decide between a
+    licence and one that extends it."""
+    matched: set[str] = set()
     best: tuple[float, str, int] = (0.0, "", 0)
     low = (text or "").lower()
     if any(c in low for c in CUES):
@@ -113,9 +125,12 @@ def notice(text: str | None, least: float) -> tuple[str | None, float, int]:
                 part = piece.lower()
                 if any(c in part for c in CUES):
                     score, name = nearest(piece)
+                    if score >= least:
+                        matched.add(name)
                     if score > best[0]:
                         best = score, name, len(piece.split())
-    return (best[1], best[0], best[2]) if best[0] >= least else (None, 0.0, 0)
+    longer = EXTENDS.get(best[1])
+    return (longer if longer in matched else best[1], best[0], best[2]) if best[0] >= least else (None, 0.0, 0)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", least: float = 0.7) -> DataFrame:

@@ -37,3 +37,25 @@ def test_whole_documents(spark, sf):
         held = {name for line, name in lines.items() if line in (r["text"] or "")}
         own = found[r["doc_id"]]["license"] if found[r["doc_id"]]["origin"] in ("file", "notice") else None
         assert own in held if held else own is None
+
+
+GNU = "{what} is free software{a} you can redistribute it and/or modify\nit under the terms of the GNU {kind} as published by\nthe Free Software Foundation{b} either version {version} of the License, or\n(at your option) any later version.\n"
+BSD = (
+    "Copyright (c) 2020, Some Body\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+)
+THIRD = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+
+
+@pytest.mark.parametrize(("name", "text"), [
+    ("GPL-2.0", GNU.format(what="This program", kind="General Public License", version="2", a=";", b=";")),
+    ("GPL-3.0", GNU.format(what="This program", kind="General Public License", version="3", a=":", b=", ")),
+    ("LGPL-2.1", GNU.format(what="This library", kind="Lesser General Public License", version="2.1", a=";", b=";")),
+    ("LGPL-3.0", GNU.format(what="This program", kind="Lesser General Public License", version="3", a=":", b=",")),
+    ("AGPL-3.0", GNU.format(what="This program", kind="Affero General Public License", version="3", a=":", b=",")),
+    ("BSD-2-Clause", BSD), ("BSD-3-Clause", BSD + THIRD),
+])
+def test_standard_texts(name, text):
+    assert licenses.notice(text, 0.7)[0] == name
+    assert licenses.notice("".join(f"# {line}\n" for line in text.split("\n")), 0.7)[0] == name
