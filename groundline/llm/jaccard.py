@@ -52,7 +52,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     code = pd.util.hash_array(np.array(list(number), dtype=object), categorize=False)[np.concatenate(found)]
     ends = np.cumsum(sizes)
     rolled = np.zeros(len(code), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(code))):
         rolled[:len(code) - k] = _mixed(rolled[:len(code) - k] ^ code[k:], STEPS[k % 4] + np.uint64(2 * k))
     short = np.flatnonzero((sizes > 0) & (sizes < width))
     for i in short.tolist():  # a text of fewer words is one shingle

@@ -79,3 +79,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(found) == 61 + 40 and len({found[i] for i in range(61)}) == 1 and len({found[i] for i in range(100, 140)}) == 1 and found[0] != found[100]
+
+
+@pytest.mark.parametrize("texts", [["one two"], ["one two three"], ["one", "two"]])
+@pytest.mark.parametrize("width", [4, 5])
+def test_blocks_of_fewer_words_than_a_shingle(texts, width):
+    hashes, sizes = jaccard.shingle_sets(texts, width)
+    assert sizes.tolist() == [1] * len(texts) and len(set(hashes.tolist())) == len(texts)
