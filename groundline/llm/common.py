@@ -18,12 +18,33 @@ from pyspark.sql import functions as F
 
 from groundline.sources.scratch import scratch_dir, written
 
-__all__ = ["WORD", "binary", "block_of", "pack", "parts_of", "pieces", "runs", "scratch_dir", "text_bytes", "unpack", "written"]
+__all__ = ["WORD", "binary", "block_of", "pack", "parts_of", "pieces", "runs", "scratch_dir", "text_bytes", "unpack", "unused", "written"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def unused(columns: list[str] | tuple[str, ...], *names: str) -> list[str]:
+    """``names``, each with so many underscores before it that it is none of ``columns``, whose case doesn't matter."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(*names: str) -> list[Column]:
+    """Columns of these names, whatever characters are in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def fields_of(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema in words."""
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema.fields)
+
+
 def text_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of text in ``columns``, over all rows."""
     return int(df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0)

@@ -2,16 +2,16 @@
 
 Target and raw text are bags of hashed n-grams: words and word pairs, and the same over word shapes (case, end, symbols, length,
 whether a word repeats one just before it). The raw model counts every document. The target model counts labelled good
-documents, at most ``MAX_LABELLED`` labelled rows, half of which fit it and half of which set the cut. An n-gram's weight is
-the log ratio of the two models, drawn towards 0 where little was expected of it. A document's importance is the mean weight
-over its weakest stretch of words, so that neither length nor a good beginning hides a bad passage.
+documents, at most ``MAX_LABELLED`` labelled rows. A document's importance is its log ratio ``log p_target - log p_raw``: the sum
+over all words of the whole text of the four kinds' mean log ratio, each drawn towards 0 where little was expected of an n-gram.
 
-The number kept is the number of documents at or over the cut, and Gumbel noise of a small scale on each importance decides
-which: top-k of noisy log weights is sampling without replacement in proportion to the tempered weights.
+Keys are ``importance / temperature`` plus Gumbel noise of scale 1, and the ``k`` largest stay: sampling without replacement in
+proportion to the importance weights. ``k`` is a parameter; left out, it is the number of documents whose importance isn't
+below 0, those that the target model explains at least as well as the raw one.
 
-Toxic text in good prose has a model of its own, since a few words don't move a mean: the log ratio of words and word pairs
-between labelled toxic and labelled good documents, counted once a document. A document's toxicity is the sum over its
-``WORST`` terms, and its cut is set by the labelled half that fits neither model. Either model rejects.
+Toxic text in good prose has a model of its own, since a few words don't move a sum over a text: the log ratio of words and word
+pairs between labelled toxic and labelled good documents, counted once a document. A document's toxicity is the sum over its
+``WORST`` terms, and its cut is set by the labelled half that doesn't fit it. What is over the cut isn't sampled.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from itertools import count as count_up
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import WORD, binary, pack, parts_of, unpack, written
+from groundline.llm.common import WORD, binary, fields_of, pack, parts_of, quoted, unpack, unused, written
 
 FIND = re.compile(WORD).findall
 MAX_LABELLED = 20_000
@@ -35,9 +35,10 @@ BITS, SHAPE_BITS = 20, 14
 SIZE = 2 * (1 << BITS) + 2 * (1 << SHAPE_BITS)
 SLICES = 32
 PRIOR = 10.0
-#: Words in a stretch over which weights are averaged; a shorter text is one stretch.
-STRETCH = 48
-EMPTY = -99.0
+#: The importance of a text without words, under all others.
+EMPTY = -1e12
+#: Bins of a round of counts in the search for the k-th key.
+BINS = 1024
 #: The toxic model: terms of the largest log ratios, in so many labelled toxic documents at least; the worst so many of a text count.
 MAX_TERMS, LEAST_TOXIC, TERM_PRIOR, WORST = 1 << 16, 2, 0.5, 2
 FILTER_BITS = 20
@@ -94,15 +95,11 @@ def weights(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def importance(texts: list[str], weight: np.ndarray) -> np.ndarray:
-    """Each text's importance; ``EMPTY`` for one without words."""
+    """Each text's log ratio of the models, over all its words; ``EMPTY`` for one without words."""
     rows, sizes = ngrams(texts)
-    value = np.r_[0.0, np.cumsum(weight[rows].mean(axis=1, dtype=np.float64))]
-    out, begin = np.full(len(texts), EMPTY), np.cumsum(sizes) - sizes
-    for i in np.flatnonzero(sizes):
-        sums = value[begin[i]:begin[i] + sizes[i] + 1]
-        k = min(STRETCH, int(sizes[i]))
-        out[i] = float((sums[k:] - sums[:-k]).min()) / k
-    return out
+    upto = np.r_[0.0, np.cumsum(weight[rows].mean(axis=1, dtype=np.float64))]
+    ends = np.cumsum(sizes)
+    return np.where(sizes > 0, upto[ends] - upto[ends - sizes], EMPTY)
 
 
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,14 +186,14 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def cut_of(clean: np.ndarray, bad: np.ndarray, clean_loss: float) -> float:
-    """The importance below which documents go: where the kept share of clean less that of bad documents is largest, but
-    losing no more than ``clean_loss`` of the clean ones."""
-    if not len(clean):
-        return EMPTY - 1
-    most = float(np.quantile(clean, clean_loss, method="lower"))
-    tried = np.unique(np.r_[bad[bad < most] + 1e-9, most])
+    """The value over which documents are rejected: where the share of bad documents over it less that of clean ones is largest,
+    but with no more than ``clean_loss`` of the clean ones over it. Infinite without documents of either sort."""
+    if not len(clean) or not len(bad):
+        return float("inf")
+    least = float(np.quantile(clean, 1 - clean_loss, method="higher"))
+    tried = np.unique(np.r_[bad[bad > least] - 1e-9, least])
     clean, bad = np.sort(clean), np.sort(bad)
-    gain = np.searchsorted(bad, tried) / max(1, len(bad)) - np.searchsorted(clean, tried) / len(clean)
+    gain = np.searchsorted(clean, tried, side="right") / len(clean) - np.searchsorted(bad, tried, side="right") / len(bad)
     return float(tried[np.argmax(gain)])
 
 
@@ -204,70 +201,84 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """One row per document: ``doc_id, importance, sampled_key, toxicity, kept``.
 
     ``labels(doc_id, quality, toxic)``: documents of quality 1 that aren't toxic are the target. At most ``max_labelled`` labelled
-    ids are used, in the order of a hash; all counts and importances are of all documents. Without any label of a target
-    document every document is kept, and without labels of toxic ones none goes for its toxicity. A null or empty text has the lowest importance and goes once there is a target. An id that
-    is labelled more than once is a target only if all its labels say so. Keys are drawn from id and text, so rows equal in both
-    share one and stay or go together. An empty table gives none; other columns are left out, so none can clash.
+    ids are used, in the order of a hash; all counts and importances are of all documents. ``k`` documents of the largest keys stay,
+    and all whose key equals the last of them; ``temperature`` divides importances. Without any label of a target document
+    importances are 0 and all that aren't left out by ``k`` stay; without labels of toxic ones none goes for its toxicity. A null or
+    empty text comes after all others. An id that is labelled more than once is a target only if all its labels say so. Keys are
+    drawn from id and text, so rows equal in both share one and stay or go together. An empty table gives none; other columns
+    are left out, so none can clash.
     """
-    rated, keep = rate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, carry=("doc_id",), **options)
-    return rated.select("doc_id", F.col("_importance").alias("importance"), F.col("_key").alias("sampled_key"), F.col("_toxicity").alias("toxicity"), keep.alias("kept"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rated, keep, names = rate(source, labels, "doc_id", "text", ("doc_id",), **options)
+    return rated.select("doc_id", *(F.col(n).alias(a) for n, a in zip(names, ("importance", "sampled_key", "toxicity"), strict=True)), keep.alias("kept"))
 
 
 def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that :func:`classify` keeps, with all their columns. The text passes through once and isn't shuffled."""
-    rated, keep = rate(docs.withColumns({"doc_id": F.col(id_col), "text": F.col(text_col)}), labels, carry=tuple(docs.columns), **options)
-    return rated.where(keep).select(*docs.columns)
+    """The documents that :func:`classify` keeps, with all their columns, of any names. The text passes through once and isn't shuffled."""
+    rated, keep, _ = rate(docs, labels, id_col, text_col, tuple(docs.columns), **options)
+    return rated.where(keep).select(*quoted(*docs.columns))
 
 
 def rate(
-    source: DataFrame, labels: DataFrame, *, carry: tuple[str, ...], max_labelled: int = MAX_LABELLED, clean_loss: float = 0.001, noise: float = 0.001, seed: int = 5,
-) -> tuple[DataFrame, Column]:
-    """``carry`` of ``source(doc_id, text, ...)`` with ``_importance``, ``_key`` and ``_toxicity``, written out; and which are kept."""
-    good = F.min(((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int"))
-    label = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(good.alias("_good"), F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")).alias("_toxic")).orderBy(F.xxhash64(F.lit(seed), "_label_id"), "_label_id").limit(max_labelled)
-    fits = F.pmod(F.xxhash64("_label_id", F.lit(seed)), F.lit(2)) == 0
-    role = F.when(F.col("_good").isNull(), "none").when(fits & (F.col("_good") == 1), "target").when(fits & (F.col("_toxic") == 1), "toxic").when(fits, "none").when(F.col("_good") == 1, "clean").when(F.col("_toxic") == 1, "foul").otherwise("bad")
-    joined = source.join(F.broadcast(written(label, "labels")), F.col("doc_id") == F.col("_label_id"), "left").withColumns({"_role": role, "_draw": F.xxhash64(F.lit(seed + 1), "doc_id", "text")})
-
-    models = joined.select("text", F.col("_role").alias("role")).mapInArrow(_counted, "model int, slice int, counts binary").groupBy("model", "slice").applyInArrow(_added, "model int, slice int, counts binary").collect()
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], *, k: int | None = None, temperature: float = 1.0, max_labelled: int = MAX_LABELLED, toxic_clean_loss: float = 0.001, seed: int = 5,
+) -> tuple[DataFrame, Column, list[str]]:
+    """``carry`` of ``docs`` with importance, key and toxicity, written out; which are kept; and the names of those three columns."""
+    role, draw, label_id, good, toxic, *out = unused(docs.columns, "role", "draw", "label_id", "good", "toxic", "importance", "key", "toxicity")
+    is_good = ((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
+    by_id = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(label_id)).agg(F.min(is_good).alias(good), F.max((F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")).alias(toxic))
+    label = written(by_id.orderBy(F.xxhash64(F.lit(seed), label_id), label_id).limit(max_labelled), "labels")
+    fits = F.pmod(F.xxhash64(label_id, F.lit(seed)), F.lit(2)) == 0
+    sort = F.when(F.col(good).isNull(), "none").when(F.col(good) == 1, F.when(fits, "target").otherwise("clean")).when(F.col(toxic) == 1, F.when(fits, "toxic").otherwise("foul")).otherwise("none")
+    # max_labelled ids are all that is broadcast
+    joined = docs.join(F.broadcast(label), F.col(id_col) == F.col(label_id), "left").withColumns({role: sort, draw: F.xxhash64(F.lit(seed + 1), id_col, text_col)})
+
+    models = joined.select(F.col(text_col).alias("text"), F.col(role).alias("role")).mapInArrow(_counted, "model int, slice int, counts binary").groupBy("model", "slice").applyInArrow(_added, "model int, slice int, counts binary").collect()
     counts = np.zeros((2, SIZE), np.int64)
     for row in models:  # 2 x SLICES rows, SIZE numbers in all, whatever the corpus
         width = SIZE // SLICES
         counts[row["model"], row["slice"] * width:(row["slice"] + 1) * width] = unpack(bytes(row["counts"]), "i8")
     weight = weights(counts[1], counts[0])
-    known_terms, term_weight = toxic_model(joined.where(F.col("_role").isin("target", "toxic")).select("text", F.col("_role").alias("role")))
+    known_terms, term_weight = toxic_model(joined.where(F.col(role).isin("target", "toxic")).select(F.col(text_col).alias("text"), F.col(role).alias("role")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, "_text"):
-                texts = [t or "" for t in part.column("_text").to_pylist()]
-                value, toxic = importance(texts, weight), toxicity(texts, known_terms, term_weight)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*carry, "_role", "_draw"]), pa.array(value, pa.float64()), pa.array(toxic, pa.float64())], [*carry, "_role", "_draw", "_importance", "_toxicity"])
-
-    taken = joined.select(*carry, F.col("text").alias("_text"), "_role", "_draw")
-    fields = ", ".join(f"`{c}` {taken.schema[c].dataType.simpleString()}" for c in [*carry, "_role", "_draw"])
-    u = (F.pmod("_draw", F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rated = written(taken.mapInArrow(measure, f"{fields}, _importance double, _toxicity double").withColumn("_key", F.col("_importance") - noise * F.log(-F.log(u))), "importance")
-    known = rated.where(F.col("_role").isin("clean", "bad", "foul")).select("_role", "_importance", "_toxicity").toPandas()  # rows of at most max_labelled ids
-    is_clean, is_foul = known["_role"] == "clean", known["_role"] == "foul"
-    least = least_key(rated, cut_of(known.loc[is_clean, "_importance"].to_numpy(), known.loc[~is_clean, "_importance"].to_numpy(), clean_loss))
-    most = -cut_of(-known.loc[is_clean, "_toxicity"].to_numpy(), -known.loc[is_foul, "_toxicity"].to_numpy(), clean_loss) if is_foul.any() else float("inf")
-    return rated, (F.col("_key") >= least) & (F.col("_toxicity") <= most)
-
-
-def least_key(rated: DataFrame, cut: float, step: float = 1e-4) -> float:
-    """The key from which on to keep: as many rows as lie at or over ``cut``, those of the largest keys.
-
-    It is found from counts by bins of ``step``; only the bin that holds it is looked into, again by its counts.
+            for part in parts_of(batch, text_col):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                value, foul = importance(texts, weight), toxicity(texts, known_terms, term_weight)
+                passed = [*carry, role, draw]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(value, pa.float64()), pa.array(foul, pa.float64())], [*passed, out[0], out[2]])
+
+    passed = joined.select(*quoted(*dict.fromkeys([*carry, text_col])), role, draw)
+    told = passed.mapInArrow(measure, f"{fields_of(passed.select(*quoted(*carry), role, draw))}, {out[0]} double, {out[2]} double")
+    u = (F.pmod(draw, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rated = written(told.withColumn(out[1], F.col(out[0]) / temperature - F.log(-F.log(u))), "importance")
+    known = rated.where(F.col(role).isin("clean", "foul")).select(F.col(role).alias("role"), F.col(out[2]).alias("toxicity")).toPandas()  # rows of at most max_labelled ids
+    most = cut_of(known.loc[known["role"] == "clean", "toxicity"].to_numpy(), known.loc[known["role"] == "foul", "toxicity"].to_numpy(), toxic_clean_loss)
+    if k is None:
+        k = rated.where(F.col(out[0]) >= 0).count() if counts[1].any() else rated.count()
+    return rated, (F.col(out[1]) >= kth_largest(rated, out[1], k)) & (F.col(out[2]) <= most), out
+
+
+def kth_largest(rated: DataFrame, key: str, k: int) -> float:
+    """The ``k``-th largest of the keys; infinite for no ``k``, and minus that if there are no more than ``k``.
+
+    Rounds of counts by ``BINS`` bins narrow it down; a round tells the driver one row a bin, and no task sorts.
     """
-    low, width = EMPTY - 2.0, step
-    n_out = rated.where(F.col("_importance") < cut).count()
-    if not n_out:
-        return -float("inf")
-    bins = rated.groupBy(F.floor((F.col("_key") - low) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("bin")))
-    edge = bins.where(F.col("upto") > n_out).orderBy("bin").first()
-    if edge is None:
+    if k <= 0:
         return float("inf")
-    keys = rated.where(F.floor((F.col("_key") - low) / width) == edge["bin"]).groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    upto = keys.withColumn("upto", F.sum("n").over(Window.orderBy("_key")) + (edge["upto"] - edge["n"]))
-    return float(upto.where(F.col("upto") > n_out).orderBy("_key").first()["_key"])
+    all_ = rated.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if all_["n"] <= k:
+        return -float("inf")
+    low, high, wanted = all_["low"], all_["high"], k
+    while low < high:
+        width = (high - low) / BINS
+        number = F.least(F.floor((F.col(key) - low) / width), F.lit(BINS - 1))
+        bins = rated.where(F.col(key).between(low, high)).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+        for b in sorted(bins, key=lambda b: -b["bin"]):
+            if b["n"] >= wanted:
+                if (b["low"], b["high"]) == (low, high):  # bins no wider than the numbers' own grain
+                    return low
+                low, high = b["low"], b["high"]
+                break
+            wanted -= b["n"]
+    return low

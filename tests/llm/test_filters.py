@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -111,13 +113,70 @@ def test_resampling_edges(spark):
 
 
 def test_the_k_th_key(spark):
-    import random
-
     rng = random.Random(2)
-    values = [round(rng.uniform(-3, 1), 3) for _ in range(500)] + [0.25] * 50
-    df = spark.createDataFrame([(v, v) for v in values], "_importance double, _key double")
-    for cut in (-5.0, -1.0, 0.25, 0.9, 2.0):
-        k = sum(v >= cut for v in values)
-        least = resampling.least_key(df, cut)
-        want = sorted(values, reverse=True)[k - 1] if k else float("inf")
-        assert sum(v >= least for v in values) == sum(v >= want for v in values)
+    values = [round(rng.uniform(-3, 1), 3) for _ in range(500)] + [0.25] * 50 + [-1e12] * 3
+    df = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (0, 1, 7, 100, 300, 550, 551, 553, 554):
+        least = resampling.kth_largest(df, "key", k)
+        want = float("inf") if k == 0 else -float("inf") if k >= len(values) else sorted(values, reverse=True)[k - 1]
+        assert least == want
+
+
+def model_rows(texts):
+    """Counts of a text's n-grams in a dictionary: (family, n-gram) to number."""
+    out = []
+    for t in texts:
+        rows, _ = resampling.ngrams([t or ""])
+        out.append(Counter(rows.ravel().tolist()))
+    return out
+
+
+def test_importance_against_brute_force(spark):
+    """Whole texts' log ratios, keys and the k largest, recomputed with dictionaries from the counts of single texts."""
+    texts = ["the cat sat on the mat", "a dog ran off", None, "", "$$ BUY %% NOW $$ BUY NOW", "the dog sat on a mat near the cat " * 30, "w " * 3000, "the cat sat on the mat", "$$ !!"] * 4
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, importance int")
+    labels = spark.createDataFrame([(i, int("$" not in (texts[i] or "")), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    grams = model_rows(texts)
+    seed, ids = 5, spark.createDataFrame([(i,) for i in range(20)], "i long")
+    fits = {r["i"] for r in ids.selectExpr("i", f"pmod(xxhash64(i, {seed}), 2) = 0 as f").where("f").collect()}
+    raw, target = Counter(), Counter()
+    for i, g in enumerate(grams):
+        raw.update(g)
+        if i in fits and "$" not in (texts[i] or ""):
+            target.update(g)
+    ends = np.cumsum([0, 1 << resampling.BITS, 1 << resampling.BITS, 1 << resampling.SHAPE_BITS, 1 << resampling.SHAPE_BITS])
+    family = lambda g: int(np.searchsorted(ends, g, side="right")) - 1
+    share = {f: sum(n for g, n in target.items() if family(g) == f) / sum(n for g, n in raw.items() if family(g) == f) for f in range(4)}
+    ratio = {g: math.log((target[g] + resampling.PRIOR) / (raw[g] * share[family(g)] + resampling.PRIOR)) for g in raw}
+    want = [sum(n * ratio[g] for g, n in own.items()) / 4 if own else resampling.EMPTY for own in grams]
+    rows = {r["doc_id"]: r for r in resampling.classify(docs, labels, k=11).collect()}
+    for i, v in enumerate(want):
+        assert rows[i]["importance"] == pytest.approx(v, rel=1e-5, abs=1e-4)
+    keys = sorted((r["sampled_key"] for r in rows.values()), reverse=True)
+    assert {i for i, r in rows.items() if r["kept"]} == {i for i, r in rows.items() if r["sampled_key"] >= keys[10]}
+    noise = [r["sampled_key"] - r["importance"] for i, r in rows.items() if texts[i]]
+    assert max(noise) - min(noise) > 1  # the draw isn't a threshold
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Documents of two importances, one half drawn: of each sort as many stay as sampling without replacement by weight gives."""
+    texts = ["good plain words here today"] * 1500 + ["other stuff lives there now"] * 1500
+    docs = spark.createDataFrame([(i, f"{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 1500, 5)] + [(i, 1, 0) for i in range(1500, 3000, 15)], "doc_id long, quality int, toxic int")
+    rows = resampling.classify(docs, labels, k=1500, temperature=2.0).collect()
+    value = [next(r["importance"] for r in rows if r["doc_id"] == i) for i in (0, 2000)]
+    kept = [np.mean([r["kept"] for r in rows if (r["doc_id"] < 1500) == first]) for first in (True, False)]
+    # exponential clocks at rates exp(importance / temperature): the time by which half of all have rung gives both shares
+    low, high, rates = 0.0, 1e6, [math.exp(v / 2.0) for v in value]
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(1 - math.exp(-r * mid) for r in rates) < 1 else (low, mid)
+    want = [1 - math.exp(-r * low) for r in rates]
+    assert kept == pytest.approx(want, abs=0.04) and 0.02 < want[1] < 0.48
+
+
+def test_clashing_columns_of_select(spark):
+    docs = spark.createDataFrame([(1, "good words", 1, "a", 2, "x y"), (2, None, 1, "b", 2, None)], "doc_id long, text string, _role int, draw string, importance int, `Key` string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = resampling.select(docs, labels, k=2)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
