@@ -2,57 +2,40 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.functions.text import bound, words
+
 # Language tokens that the model may emit.
 LANGUAGE_TOKENS = ("tp_XX", "__en__", "__it__", "__es__", "__de__", "__fr__", "__pt__", "__ro__", "__nl__", "__pl__")
 TRIPLES = "array<struct<subject:string,predicate:string,object:string>>"
-NOISE = re.compile(r"<s>|<pad>|</s>|\b(?:" + "|".join(LANGUAGE_TOKENS) + r")\b")
-MARKER = re.compile(r"<[^>]+>")
+NOISE = r"(?U)<s>|<pad>|</s>|\b(?:" + "|".join(LANGUAGE_TOKENS) + r")\b"
+#: Words between single blanks that open a subject, and that end a segment.
+OPENING, MARKER = "(?<= )<(?:triplet|relation)>(?= )", "(?<= )<[^ ]*>(?= )"
 
 
-def parse_markup(text: str | None) -> list[tuple[str, str, str]]:
-    """``(subject, predicate, object)`` of a markup text.
+def triples_of(markup: Column) -> Column:
+    """Array of ``struct(subject, predicate, object)`` of a markup column; a null has none.
 
-    ``<triplet>`` and ``<relation>`` open a subject; the next marker opens its object and the one after that the predicate, and so
-    on in turn, so one subject may have several. A triple is complete when its object's next marker, or the end, finds all three
-    slots filled. A predicate is only cleared where a new one begins: an object that is cut short takes the one before.
+    ``<triplet>`` and ``<relation>`` open a block, and markers, words in angle brackets, cut it into segments: the subject, then objects
+    and predicates in turn. Each object makes a triple with the segment after it; the last, if it was cut short, with the predicate
+    before it. Triples with an empty part are left out, and so is all that stands before the first block.
     """
-    found, slot = [], {"s": [], "o": [], "p": []}
-    target = None
+    spaced = F.regexp_replace(F.regexp_replace(F.coalesce(markup, F.lit("")), NOISE, " "), "(<[^>]+>)", " $1 ")
+    blocks = F.split(F.concat(F.lit(" "), F.array_join(words(spaced), " "), F.lit(" ")), OPENING)
 
-    def close() -> None:
-        if all(slot.values()):
-            found.append((" ".join(slot["s"]), " ".join(slot["p"]), " ".join(slot["o"])))
+    def triple(segments: Column, i: Column) -> Column:
+        before = F.when(i > 2, F.element_at(segments, i - 1)).otherwise("")
+        predicate = F.when(i < F.size(segments), F.get(segments, i)).otherwise(before)
+        return F.struct(F.get(segments, F.lit(0)).alias("subject"), predicate.alias("predicate"), F.get(segments, i - 1).alias("object"))
 
-    for token in MARKER.sub(lambda m: f" {m[0]} ", NOISE.sub(" ", text or "")).split():
-        if token in ("<triplet>", "<relation>"):
-            close()
-            slot, target = {"s": [], "o": [], "p": []}, "s"
-        elif MARKER.fullmatch(token):
-            if target in ("s", "p"):
-                close()
-                target = "o"
-            else:
-                target = "p"
-            slot[target] = []
-        elif target:
-            slot[target].append(token)
-    close()
-    return found
-
-
-def triples_of(markup: Column) -> Column:
-    """Array of the triples of a markup column."""
-    @F.pandas_udf(TRIPLES)
-    def parsed(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("subject", "predicate", "object"), t, strict=True)) for t in parse_markup(x)] for x in texts])
+    def of_block(segments: Column) -> Column:
+        objects = F.when(F.size(segments) > 1, F.sequence(F.lit(2), F.size(segments), F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(objects, lambda i: triple(segments, i)), lambda t: (t["subject"] != "") & (t["predicate"] != "") & (t["object"] != ""))
 
-    return parsed(markup)
+    found = F.transform(blocks, lambda b, n: F.when(n == 0, F.array().cast(TRIPLES)).otherwise(bound(F.transform(F.split(b, MARKER), lambda s: F.trim(s)), of_block)))
+    return F.flatten(found)
 
 
 def extracted(chunks: DataFrame, beams: str = "beams") -> DataFrame:

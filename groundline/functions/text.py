@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +35,37 @@ def normalized(name: Column) -> Column:
     return F.lower(strip(name))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it or loops over it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def word_windows(text: Column, size: int = 200, overlap: int = 50) -> Column:
     """Windows of ``size`` words, each ``size - overlap`` after the last, joined by blanks; a short last window is kept."""
     stride = max(1, size - overlap)
-    w = words(text)
-    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+
+    return bound(words(text), lambda w: F.when(F.size(w) > 0, windows(w)).otherwise(F.array().cast("array<string>")))
 
 
 def char_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Windows of ``size`` characters, stripped, without blank ones. A text of white space alone has none."""
+    """Windows of ``size`` characters, stripped, without blank ones. A text of white space alone has none.
+
+    The text is cut once into pieces of ``size - overlap`` characters; a window is its piece and the beginning of the next ones,
+    so the work is linear in the text.
+    """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    starts = F.sequence(F.lit(1), F.length(text), F.lit(size - overlap))
-    pieces = F.transform(starts, lambda i: strip(F.substring(text, i, F.lit(size))))
-    return F.when(F.length(strip(text)) > 0, F.filter(pieces, lambda p: p != "")).otherwise(F.array().cast("array<string>"))
+    step = size - overlap
+    more = -(-size // step)
+
+    def windows(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: strip(F.substring(F.array_join(F.slice(p, i, more), ""), F.lit(1), F.lit(size))))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return F.when(F.length(strip(text)) > 0, F.filter(bound(cut, windows), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(text: Column) -> Column:

@@ -118,7 +118,7 @@ def markup_triples(spark, d):
     """Two beams a customer, the second a case-changed copy and one triple more."""
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     one = F.concat(F.lit("<s><triplet> "), "c_name", F.lit(" <subj> "), "n_name", F.lit(" <obj> located in <subj> "), "c_mktsegment", F.lit(" <obj> works in</s><pad>"))
-    two = F.concat(F.lit("tp_XX<triplet> "), F.upper("c_name"), F.lit("<per>"), F.lower("n_name"), F.lit("<loc>Located In<relation> "), "n_name", F.lit(" <loc> region "), F.col("n_regionkey").cast("string"), F.lit(" <loc> part of"))
+    two = F.concat(F.lit("tp_XX<triplet> "), F.upper("c_name"), F.lit("<per>"), F.lower("n_name"), F.lit("<loc>Located In<relation> "), "n_name", F.lit(" <> region "), F.col("n_regionkey").cast("string"), F.lit(" <loc> part of"))
     return markup.extracted(c.select(F.lit("customer").alias("source_file"), F.col("c_custkey").alias("chunk_index"), F.array(one, two).alias("beams")))
 
 

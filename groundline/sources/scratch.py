@@ -14,17 +14,28 @@ _TABLES: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")
-    if not found:
-        found = _OWN["dir"] = tempfile.mkdtemp(prefix="groundline-")
-    return found
+    """The shared folder for scratch tables: ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode, where driver
+    and executors are one machine; elsewhere an error, since executors couldn't read it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    if "dir" not in _OWN:
+        _OWN["dir"] = tempfile.mkdtemp(prefix="groundline-")
+    return _OWN["dir"]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`clear` deletes."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _TABLES.append(path)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -38,6 +38,20 @@ def test_windows_against_plain_python(spark, sf):
         assert r["c"] == [p for i in range(0, len(r["text"]), 450) if (p := r["text"][i:i + 500].strip())]
 
 
+def test_windows_are_linear_in_a_text(spark):
+    """Four times the text takes about four times as long, not sixteen."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"wörd{i}" for i in range(n)),)], "t string")
+        began = time.perf_counter()
+        df.select(F.size(text.word_windows(F.col("t"))), F.size(text.char_windows(F.col("t")))).collect()
+        return time.perf_counter() - began
+
+    seconds(20_000)
+    assert seconds(320_000) < 8
+
+
 def test_white_space_is_unicode(spark):
     odd = " 　 a b\x1cc\u0085"
     assert one(spark, text.words(F.col("t")), odd) == odd.split()
@@ -80,10 +94,11 @@ def test_escape_order(spark):
     ("<triplet> A <per> B <loc> lives in<triplet> C <org> D <loc> based in", [("A", "lives in", "B"), ("C", "based in", "D")]),
     ("<triplet> A <subj> B <obj> r1 <relation> C <subj> D <obj> r2", [("A", "r1", "B"), ("C", "r2", "D")]),
     ("<triplet> A <subj> B", []), ("<triplet> A <subj> B <obj>", []), ("plain text", []), ("<subj> x <obj> y", []), ("<triplet> A <foo bar> B <obj> r", []), (None, []),
-    ("tp_XX<triplet> A <subj> B <obj> __en__ r", [("A", "r", "B")]),
+    ("tp_XX<triplet> A <subj> B <obj> __en__ r", [("A", "r", "B")]), ("<triplet> A <> B <obj> r", [("A", "r", "B")]), ("<triplet> A<>B <subj> C <obj> r", [("A<>B", "r", "C")]),
+    ("<triplet> <triplet> S <subj> O1 <obj> R1 <subj>  <obj> R2 <subj> O3", [("S", "R1", "O1"), ("S", "R2", "O3")]), ("<triplet> S <subj> O <obj> R <subj> <obj>", [("S", "R", "O")]), ("", []),
 ])
-def test_markup(source, want):
-    assert markup.parse_markup(source) == want
+def test_markup(spark, source, want):
+    assert [tuple(t) for t in one(spark, markup.triples_of(F.col("t")), source)] == want
 
 
 def test_extraction_keeps_the_first_of_a_chunk(spark):

@@ -127,3 +127,19 @@ def test_audit(spark):
 def test_accumulation(spark):
     hits = spark.createDataFrame([(1, 1, 0, "a", "x"), (1, 1, 1, None, "y"), (1, 2, 0, "a", "z"), (1, 2, 1, None, "w"), (2, 1, 0, "a", "v")], "run_id int, iteration int, rank int, source_id string, document string")
     assert sorted((r["run_id"], r["document"]) for r in audit.accumulated(hits).collect()) == [(1, "x"), (1, "y"), (2, "v")]
+
+
+def test_components_of_chains_take_few_tables(spark):
+    from groundline.operators import components as module
+
+    names = []
+    kept = module.written
+    module.written = lambda df, name: (names.append(name), kept(df, name))[1]
+    try:
+        chain = [(i, i + 1) for i in range(1000)] + [(5000 - i, 5001 - i) for i in range(300)] + [(9000, 9000 + i) for i in range(1, 50)] + [(8000, None), (None, 8001), (7000, 7000)]
+        found = {r["node"]: r["label"] for r in module.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    finally:
+        module.written = kept
+    assert all(found[i] == 0 for i in range(1001)) and all(found[i] == 4701 for i in range(4701, 5002)) and all(found[i] == 9000 for i in range(9000, 9050)) and found[7000] == 7000
+    assert len(names) <= 20
+    assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0
