@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from groundline.llm import decontamination, quality, resampling
 
@@ -47,30 +49,84 @@ ITEM = "A train leaves Boston at 9 am and covers 120 km in 2 hours; what is the
 BENCHMARK = [(1, ITEM), (2, None), (3, ""), (4, "1 2 3 4 5 6 7"), (5, "Two words"), (1, ITEM), (6, "The quick brown fox jumps over the lazy dog near the old river bank today.")]
 
 
-@pytest.mark.parametrize(("text", "items", "changed"), [
+CASES = [
     (f"Some text before. {ITEM} And after.", [1], False), (ITEM.upper().lower(), [1], False), ("x " + ITEM.replace("Boston", "Chicago").replace("120", "300").replace(" 2 ", " 5 "), [1], True),
-    (ITEM.replace("Boston", "Chicago", 1), [], False), (ITEM[:40], [], False), ("", [], False), (None, [], False), ("1 2 3 4 5 6 7 8", [], False), ("here are two words", [5], False),
-    ("The quick brown fox jumps over the lazy dog near some other place far away now.", [6], False), ("y " * 4000 + ITEM + " z" * 4000, [1], False),
-])
-def test_templates(spark, text, items, changed):
-    benchmark = spark.createDataFrame([(*b, "e") for b in BENCHMARK], "item_id long, text string, extra string")
-    rows = decontamination.decontaminate(spark.createDataFrame([(7, text, "m")], "doc_id long, text string, matches string"), benchmark, part_bytes=60).collect()
-    r = rows[0]
-    if text is not None and "near some other" in text:
-        assert r["contaminated"] and 0.5 <= r["containment"] < 1
-    if text == ITEM.replace("Boston", "Chicago", 1):
-        assert r["containment"] == 0 or not r["reparameterised"]  # one city stands for two: no consistent copy over all windows
-    else:
-        assert (r["item_ids"], r["reparameterised"], r["kept"]) == (items, changed, not items)
-
-
-@pytest.mark.parametrize(("text", "changed"), [
-    (ITEM.upper(), False), (ITEM.title(), False), (ITEM.replace("Boston", "Chicago", 1), False), (ITEM.replace("120", "7").replace(" 2 ", " 7 ").replace(" 9 ", " 7 "), True),
-])
-def test_changed_case_and_slots_that_disagree(text, changed):
-    index = decontamination.Index.build([b[:2] for b in BENCHMARK[:5]], 5)
-    (found,) = decontamination.leaks([f"Words come before. {text} More words."], index, 0.5)
-    assert [(i, new) for i, _, new in found] == [(1, changed)]
+    (ITEM[:40], [], False), ("", [], False), (None, [], False), ("here are two words", [5], False), ("9 8 7 6 5 4 3 2", [], False), ("see 1 2 3 4 5 6 7 there", [4], False),
+    ("The quick brown fox jumps over the lazy dog near some other place far away now.", [6], False), ("y " * 4000 + ITEM + " z" * 4000, [1], False), (ITEM.upper(), [1], False), (ITEM.title(), [1], False),
+    (ITEM.replace("Boston", "Chicago", 1), [1], False), (ITEM.replace("120", "7").replace(" 2 ", " 7 ").replace(" 9 ", " 7 "), [1], True), ("Now: paris LONDON rome, Berlin Madrid Vienna Prague. Yes", [8], False),
+    (" and ".join(ITEM.replace("Boston", c).replace("120", n) for c, n in (("Chicago", "300"), ("Dallas", "77"))), [1], True),
+]
+
+
+def test_templates(spark):
+    """Verbatim copies, in other capitals, re-parameterised ones, twice with other values, and none; all in one table."""
+    benchmark = spark.createDataFrame([(*b, "e") for b in [*BENCHMARK, (8, "Paris London Rome Berlin Madrid Vienna Prague"), (None, "unnamed item with some words")]], "item_id long, text string, extra string")
+    docs = spark.createDataFrame([(i, t, "m") for i, (t, _, _) in enumerate(CASES)] + [(None, ITEM, "m"), (0, CASES[0][0], "m")], "doc_id long, text string, matches string")
+    rows = decontamination.decontaminate(docs, benchmark).collect()
+    assert len(rows) == len(CASES) + 2 and [r["item_ids"] for r in rows if r["doc_id"] is None] == [[1]] and sum(r["doc_id"] == 0 for r in rows) == 2
+    for r in rows:
+        if r["doc_id"] is not None:
+            _, items, changed = CASES[r["doc_id"]]
+            assert (r["item_ids"], r["kept"]) == (items, not items) and (not changed or r["reparameterised"]), CASES[r["doc_id"]]
+            assert not r["contaminated"] or 0.5 <= r["containment"] <= 1
+    clashing = docs.withColumns({"row": F.lit(1), "match_id": F.lit(2), "_row": F.lit(3), "text2": F.col("text")})
+    kept = decontamination.clean_documents(clashing, benchmark)
+    assert kept.columns == clashing.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in enumerate(CASES) if not c[1])
+
+
+def canonical(text):
+    """Template tokens of a text from the rules, one word at a time: (token, kind, value)."""
+    out, after, number = [], True, False
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        low, kind, capital, end = decontamination._token(word)
+        if kind == decontamination.UNIT and not number:
+            kind = decontamination.WORD_KIND
+        if kind == decontamination.WORD_KIND and capital and not after:
+            kind = decontamination.NAME
+        out.append((low if kind == decontamination.WORD_KIND else ("slot", kind), kind, low))
+        after, number = end, kind == decontamination.NUM
+    return out
+
+
+def brute_leak(item, doc, width=5):
+    """Largest share of the item's windows in the document, by comparing every window with every other."""
+    a, b = canonical(item), canonical(doc)
+    w = min(width, len(a))
+    if not w:
+        return 0.0
+    places = range(len(a) - w + 1)
+    plain = sum(any(all(a[p + j][2] == b[q + j][2] for j in range(w)) for q in range(len(b) - w + 1)) for p in places) / len(places)
+    use = [p for p in places if sum(x[1] == 0 for x in a[p:p + w]) >= min(decontamination.LITERALS, w)]
+    met = [(p, q) for p in use for q in range(len(b) - w + 1) if all(a[p + j][0] == b[q + j][0] for j in range(w))]
+    if len({p for p, _ in met}) < 0.5 * len(use) or not use:
+        return plain
+    votes = {}
+    for p, q in met:
+        for j in range(w):
+            if a[p + j][1]:
+                votes.setdefault(a[p + j][1:], {}).setdefault(b[q + j][2], set()).add(p + j)
+    value = lambda v: int(pd.util.hash_array(np.array([v], dtype=object), categorize=False).view(np.int64)[0])
+    most = {k: max(v, key=lambda x: (len(v[x]), x == k[1], value(x))) for k, v in votes.items()}
+    held = {p for p, q in met if all(not a[p + j][1] or b[q + j][2] in (a[p + j][2], most[a[p + j][1:]]) for j in range(w))}
+    return max(plain, len(held) / len(use))
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(4)
+    names, words = ["Boston", "Chicago", "Anna", "Peter"], ["train", "leaves", "and", "the", "speed", "covers", "of", "in", "how", "far"]
+    make = lambda n: " ".join(rng.choice([rng.choice(words), rng.choice(words), rng.choice(names), str(rng.randint(1, 4)), f"{rng.randint(1, 3)} km"]) for _ in range(n))
+    items = [(i, make(rng.choice([2, 4, 8, 14, 20]))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        t = items[rng.randrange(12)][1]
+        for old in rng.sample([*names, "1", "2", "3"], 2):
+            t = t.replace(old, rng.choice([*names, "3", "9"]), rng.choice([1, 1, 9]))
+        docs.append((i, " ".join([make(rng.randint(0, 10)), rng.choice([t, t.upper(), t + " " + t.replace("1", "8"), make(15)]), make(rng.randint(0, 6))])))
+    found = {r["doc_id"]: r for r in decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, text in docs:
+        shares = {k: brute_leak(item, text) for k, item in items}
+        assert found[i]["item_ids"] == [k for k, v in shares.items() if v >= 0.5], text
+        assert found[i]["containment"] == pytest.approx(max([v for v in shares.values() if v >= 0.5], default=0.0))
 
 
 def test_leaks_against_brute_force(spark, sf):
