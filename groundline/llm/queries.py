@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundline.llm import decontamination, jaccard, licenses, mixing, oracles, pii, ppm, quality, repeats, resampling, warc
 from groundline.sources.tables import table
@@ -35,7 +36,8 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(licenses.with_paths(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs if "path" in docs.columns else docs.withColumn("path", F.lit(None).cast("string")))
 
 
 def op8_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,18 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 
-from groundline.llm import licenses
+from groundline.llm import license_texts, licenses
+from groundline.llm.queries import QUERIES
 
 MIT, APACHE, NC = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."
 
 
 def test_nearest_directory(spark):
     files = [
-        (0, "a/LICENSE", licenses.TEMPLATES[3][1]), (1, "a/b/c/x.py", "plain words"), (2, "a/b/COPYING.txt", APACHE), (3, "a/b/c/y.py", f"# {NC}\ncode = 1"),
+        (0, "a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n\n".join(license_texts.TEXTS["MIT"])), (1, "a/b/c/x.py", "plain words"), (2, "a/b/COPYING.txt", APACHE), (3, "a/b/c/y.py", f"# {NC}\ncode = 1"),
         (4, "a/z.py", ""), (5, "q/r.py", None), (6, None, "text"), (7, "a/b/c/d/notice", MIT), (8, "a/b/c/d/e/w", "x"), (9, "top", "x"), (9, "top", "x"),
         (10, "a/b/c2/v", "the licensed driver of a copyright office reads about an apache village"), (11, "a/b/COPYING", APACHE), (12, "n/o", f"many words of prose come before. {MIT}"), (13, "n/p", "x"),
     ]
@@ -23,19 +28,60 @@ def test_nearest_directory(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
-@pytest.mark.parametrize("n", range(len(licenses.TEMPLATES)))
-def test_templates_find_themselves(n):
-    score, name = licenses.nearest(licenses.TEMPLATES[n][1])
-    assert score == pytest.approx(1) and name == licenses.TEMPLATES[n][0]
+def test_templates_find_themselves():
+    for name, text in licenses.TEMPLATES:
+        words = licenses.WORDS.findall(text.lower())
+        score, found = licenses.nearest(words)
+        same = {n for n, t in licenses.TEMPLATES if licenses.terms(licenses.WORDS.findall(t.lower())) == licenses.terms(words)}
+        assert score == pytest.approx(1) and found in same and name in same
+
+
+def cosine(a, b, idf, rare):
+    x, y = ({t: k * idf.get(t, rare) for t, k in licenses.terms(w).items()} for w in (a, b))
+    dot = sum(v * y.get(t, 0.0) for t, v in x.items())
+    return dot / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+
+def test_cosines_against_brute_force():
+    """Random cuts and mixtures of notices and prose: every piece by every template, without inverted lists or bounds."""
+    rng = random.Random(3)
+    prose = "the quick brown fox may use and copy a license to drive under the bridge. Permission was granted by all rights holders! We modify software".split()
+    every = [licenses.WORDS.findall(t.lower()) for _, t in licenses.TEMPLATES]
+    df = Counter(t for w in every for t in set(licenses.terms(w)))
+    idf = {t: math.log((1 + len(every)) / (1 + n)) + 1 for t, n in df.items()}
+    for _ in range(60):
+        words = rng.choice(licenses.TEMPLATES)[1].split()
+        k = rng.randrange(len(words))
+        some = rng.choices(prose, k=rng.randint(0, 20)) + words[k:k + rng.randint(2, 60)] + rng.choices(prose, k=rng.randint(0, 12))
+        text = "".join(w + rng.choice([" ", " ", " ", "\n", "\n\n", "\n# "]) for w in some)
+        own, ranges = licenses.pieces_of(licenses.TOKEN.findall(text.lower()))
+        scores = {(a, b): max(cosine(own[a:b], t, idf, max(idf.values())) for t in every) for a, b in ranges.tolist()}
+        for a, b in ranges.tolist():
+            assert licenses.nearest(own[a:b])[0] == pytest.approx(scores[a, b])
+        assert {tuple(r) for r in licenses.reachable(own, ranges, 0.7).tolist()} >= {r for r, v in scores.items() if v >= 0.7}
+        top = max(scores.values(), default=0.0)
+        name, score, _ = licenses.notice(text, 0.7)
+        assert (score == pytest.approx(top, abs=1e-5)) if top >= 0.7 else name is None
+
+
+def test_long_texts_and_ties(spark):
+    long = "plain words without any grant. " * 60_000
+    rows = [(1, None, long + "\n" + MIT), (2, None, long), (3, None, f"{MIT}\n{APACHE}"), (4, None, f"{APACHE}\n{MIT}"), (5, "x/LICENSE", MIT), (6, "x/COPYING", APACHE), (7, "x/y/z", "")]
+    found = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert found[1] == ("MIT", "notice") and found[2] == (None, "none")
+    assert found[3] == ("Apache-2.0", "notice") and found[4] == ("Apache-2.0", "notice")  # equal cosines: the longer notice
+    assert found[7] == ("Apache-2.0", "inherited")  # equal cosines: the smaller path
 
 
 def test_whole_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    found = {r["doc_id"]: r for r in licenses.scan(licenses.with_paths(docs)).collect()}
+    rows = QUERIES["op7_licenses"](spark, sf).collect()
+    assert all(r["origin"] in ("none", "notice", "file") and r["license_path"] is None for r in rows)  # no paths: nothing is inherited
+    found = {r["doc_id"]: r for r in rows}
     lines = {MIT: "MIT", APACHE: "Apache-2.0", NC: "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary"}
     for r in docs.collect():
         held = {name for line, name in lines.items() if line in (r["text"] or "")}
-        own = found[r["doc_id"]]["license"] if found[r["doc_id"]]["origin"] in ("file", "notice") else None
+        own = found[r["doc_id"]]["license"]
         assert own in held if held else own is None
 
 
