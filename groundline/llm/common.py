@@ -1,8 +1,10 @@
 """What several operators share: words, scratch tables, and the block exchange.
 
-The block exchange is how operators that compare documents stay linear: documents are dealt to blocks of a few MB, each
-block sends one packed array per bucket instead of a row per item, buckets answer the blocks, and the blocks join the
-answers to their texts. Blocks and buckets are counted from the input's bytes, so each stays the same size at any scale.
+The block exchange is how operators that compare documents stay near linear: documents are dealt to blocks of a few MB, each
+block sends one packed array per bucket it has items for instead of a row per item, buckets answer the blocks, and the blocks
+join the answers to their texts. Blocks, buckets and tasks are counted from the input's bytes, so what a task holds stays the
+same size. Packets are blocks times buckets, and shrink as both grow: at 30 GB one has hundreds of keys, at 100 TB about one, where
+the exchange is a shuffle of plain keys.
 """
 
 from __future__ import annotations
@@ -55,6 +57,20 @@ def pieces(n_bytes: int, each: int, least: int = 1) -> int:
     return max(least, -(-n_bytes // each))
 
 
+def dealt_tasks(n_bytes: int, each: int = 8 << 20, least: int = 8, most: int = 20_000) -> int:
+    """How many tasks take ``n_bytes`` of blocks or packets: about ``each`` bytes a task, so that no task grows with the input, until ``most``
+    tasks are reached; beyond, a task takes more groups, one after another."""
+    return min(most, pieces(n_bytes, each, least))
+
+
+def by_bucket(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that ``of`` names, with the places that name it. The work doesn't depend on how many buckets there are."""
+    order = np.argsort(of, kind="stable")
+    at = runs(of[order])
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+        yield int(of[order[a]]), order[a:b]
+
+
 def block_of(n_blocks: int, *columns: str) -> Column:
     """An even deal of rows to blocks by a hash of ``columns``."""
     return F.pmod(F.xxhash64(*columns), F.lit(n_blocks)).cast("int").alias("block")

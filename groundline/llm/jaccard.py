@@ -6,8 +6,11 @@
    a shingle among their first few (prefix filter); nodes joined by such shingles form candidate groups.
 3. In a group, documents are searched by T-occurrence (DivideSkip): a query's short inverted lists are merged and counted, its
    long ones are only probed by binary search for documents that may still reach the overlap ``T``, and the exact test on set
-   sizes follows. Small groups share a task; a large group is dealt to blocks and each pair of blocks is a task, so no task
-   holds more than two blocks. A task returns links folded to one edge a document, and numbers of links, never its pairs.
+   sizes follows. Small groups share a task. A large group is dealt in the cheaper of two ways: by its shingles, each node once
+   with every task that has one of its first few (groups that boilerplate chains together), or as blocks whose pairs are tasks
+   (copies, which share all their shingles). A task of too many nodes is pairs of blocks too, so none holds more than two
+   blocks. It returns links folded to one edge a document, and numbers of links, never its pairs; a pair that meets in several
+   tasks counts in that of its first common shingle.
 4. Components of the edges give each document the smallest id it is linked to.
 """
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import WORD, binary, block_of, pack, pieces, runs, text_bytes, unpack, written
+from groundline.llm.common import WORD, binary, block_of, by_bucket, dealt_tasks, pack, pieces, quoted, runs, text_bytes, unpack, unused, written
 from groundline.operators.components import components
 
 STEPS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -98,11 +101,8 @@ def key_array(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32, n).astype(np.uint64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def dealt_order(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys by bucket, and where each bucket's end."""
-    of = (keys % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.int64)
-    order = np.argsort(of, kind="stable")
-    return order, np.searchsorted(of[order], np.arange(n_buckets + 1))
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return (keys % np.uint64(n)).astype(np.uint16 if n < 1 << 16 else np.int64)
 
 
 def asks(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
@@ -113,9 +113,8 @@ def asks(table: pa.Table, width: int, n_buckets: int) -> pa.Table:
     own = np.sort(hashes[np.repeat(new, sizes)])
     at = runs(own)
     keys, counts = own[at], np.diff(np.r_[at, len(own)])
-    order, ends = dealt_order(keys, n_buckets)
     block = table.column("block")[0].as_py()
-    rows = [(b, block, key_bytes(keys[o] >> KEY_BITS), pack(counts[o].astype(np.uint32))) for b in range(n_buckets) if ends[b + 1] > ends[b] for o in (order[ends[b]:ends[b + 1]],)]
+    rows = [(b, block, key_bytes(keys[o] >> KEY_BITS), pack(counts[o].astype(np.uint32))) for b, o in by_bucket(bucket_of(keys, n_buckets))]
     columns = list(zip(*rows, strict=True)) or [[], [], [], []]
     return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["bucket", "block", "keys", "counts"])
 
@@ -139,9 +138,9 @@ def sets_of(docs: pa.Table, told: pa.Table, width: int, n_buckets: int, num: int
     hashes, sizes = shingle_sets(docs.column("text").to_pylist(), width)
     names = set_names(hashes, sizes)
     uniq, back = np.unique(hashes, return_inverse=True)
-    df, (order, ends) = np.zeros(len(uniq), np.int64), dealt_order(uniq, n_buckets)
-    for b, value in zip(told.column("bucket").to_pylist(), binary(told, "values"), strict=True):
-        df[order[ends[b]:ends[b + 1]]] = unpack(value, "u4")
+    df, answered = np.zeros(len(uniq), np.int64), dict(zip(told.column("bucket").to_pylist(), binary(told, "values"), strict=True))
+    for b, own in by_bucket(bucket_of(uniq, n_buckets)):
+        df[own] = unpack(answered[b], "u4")
     df = df[back]
     begin = np.cumsum(sizes) - sizes
     n_shared = np.add.reduceat(np.r_[df > 1, False].astype(np.int64), np.minimum(begin, len(df))) * (sizes > 0) if len(sizes) else sizes
@@ -162,6 +161,17 @@ def sets_of(docs: pa.Table, told: pa.Table, width: int, n_buckets: int, num: int
     ], ["doc_id", "row", "n_shingles", "node", "shared", "prefix"])
 
 
+def merge_lists(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of sorted lists, ascending, and how many lists have each.
+
+    One merging sort: it finds the lists as ascending runs and merges them two at a time by its stack of run lengths, which stands
+    for the heap of list heads.
+    """
+    merged = np.sort(np.concatenate(lists), kind="stable") if lists else np.zeros(0, np.int64)
+    first = runs(merged)
+    return merged[first], np.diff(np.r_[first, len(merged)])
+
+
 class Lists:
     """Inverted lists of an index: for each shingle the ascending numbers of the sets that hold it."""
 
@@ -184,10 +194,7 @@ class Lists:
         at = at[np.argsort(length, kind="stable")]
         n_long = min(least - 1, max(0, int(least / (MU * np.log2(length.max() + 1) + 1))))
         short, long = at[:len(at) - n_long], at[len(at) - n_long:]
-        # a stable sort merges the runs that it finds: the heap merge of sorted lists, in one call
-        merged = np.sort(np.concatenate([self.postings[self.begin[t]:self.end[t]] for t in short]), kind="stable")
-        first = runs(merged)
-        found, count = merged[first], np.diff(np.r_[first, len(merged)])
+        found, count = merge_lists([self.postings[self.begin[t]:self.end[t]] for t in short])
         need = -(-num * (size + self.sizes[found]) // (num + den))
         for k, t in enumerate(long):
             alive = count + (len(long) - k) >= need
@@ -203,12 +210,20 @@ class Lists:
 LINKS = "node binary, other binary, n_links long"
 
 
-def links_of(table: pa.Table, num: int, den: int) -> pa.Table:
+def first_common(a: list[int], b: list[int]) -> int:
+    """The first of the prefix ``a`` that is in ``b``; both stand in one order, so it is the first of both."""
+    other = set(b)
+    return next(t for t in a if t in other)
+
+
+def links_of(table: pa.Table, num: int, den: int, n_tasks: int) -> pa.Table:
     """A task's links: for each node with links here one edge towards the least node of its local component, and how many
     documents it is linked to."""
     nodes, sizes = binary(table, "node"), table.column("n_shingles").to_numpy()
     sets, copies = [np.frombuffer(x, np.uint64) for x in binary(table, "shared")], table.column("copies").to_numpy()
     side = table.column("side").to_numpy()
+    task = table.column("task")[0].as_py() if table.column("kind")[0].as_py() == BY_TOKEN else None
+    prefixes = table.column("prefix").to_pylist() if task is not None else []
     one = not (side > 0).any()
     index = np.arange(len(nodes)) if one else np.flatnonzero(side == 1)
     lists = Lists([sets[i] for i in index], sizes[index])
@@ -223,6 +238,8 @@ def links_of(table: pa.Table, num: int, den: int) -> pa.Table:
     for q in range(len(nodes)) if one else np.flatnonzero(side == 0).tolist():
         found = index[lists.search(sets[q], int(sizes[q]), num, den)]
         found = found[found != q]
+        if task is not None and len(found):
+            found = found[[first_common(prefixes[q], prefixes[x]) % n_tasks == task for x in found.tolist()]]
         n_links[q] += copies[found].sum()
         if not one:
             np.add.at(n_links, found, copies[q])
@@ -234,26 +251,43 @@ def links_of(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array([nodes[i] for i in linked], pa.binary()), pa.array([nodes[root(i)] for i in linked], pa.binary()), pa.array(n_links[linked], pa.int64())], ["node", "other", "n_links"])
 
 
-def candidate_tasks(nodes: DataFrame, group: int) -> DataFrame:
+WHOLE, BY_BLOCK, BY_TOKEN = 0, 1, 2
+
+
+def candidate_tasks(nodes: DataFrame, group: int, by_token: bool | None = None) -> tuple[DataFrame, int]:
     """``nodes(node, n_shingles, shared, prefix, copies)`` dealt to search tasks ``(kind, task, i, j)``; ``side`` tells the two
-    blocks of a pair apart."""
+    blocks of a pair apart. Also how many tasks share out the shingles. ``by_token`` forces one of the two ways of large groups."""
     tokens = nodes.select("node", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(tokens.groupBy("token").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-tokens")
     groups = components(tokens.join(shared, "token").select(F.col("node").alias("a"), "b"), "candidates")
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    placed = groups.join(sizes, "label").join(nodes.drop("prefix"), "node")
-    n_tasks = max(1, groups.count() // group)
+    placed = groups.join(nodes.select("node", F.size("prefix").alias("n_prefix"), "n_shingles"), "node")
     n_blocks = F.ceil(F.col("size") / group).cast("int")
-    small = placed.where(F.col("size") <= group).select(F.lit(0).alias("kind"), F.pmod(F.xxhash64("label"), F.lit(n_tasks)).alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "n_shingles", "shared", "copies")
-    block = placed.where(F.col("size") > group).withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    large = block.select(
-        F.lit(1).alias("kind"), F.xxhash64("label").alias("task"), F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"),
-        F.when(F.col("own") > F.col("partner"), 1).otherwise(0).alias("side"), "node", "n_shingles", "shared", "copies",
-    )
-    return small.unionByName(large)
-
-
-def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    # what a large group sends to tasks: each set once a block, or once for each shingle of its prefix
+    way = F.lit(by_token) if by_token is not None else F.col("sent_by_token") < n_blocks * F.col("sent_once")
+    sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("sent_once"), F.sum(F.col("n_prefix") * F.col("n_shingles")).alias("sent_by_token"))
+    dealt = written(groups.join(sizes, "label").select("node", "label", "size", F.when(F.col("size") <= group, WHOLE).when(way, BY_TOKEN).otherwise(BY_BLOCK).alias("kind")), "candidate-groups")
+    n_tasks = max(1, dealt.where(F.col("kind") == WHOLE).count() // group)
+    columns = ["kind", "task", "i", "j", "side", "node", "n_shingles", "shared", "copies", "prefix"]
+    none = F.lit(None).cast("array<long>").alias("prefix")
+    sets = nodes.select("node", "n_shingles", "shared", "copies", "prefix")
+
+    small = dealt.where(F.col("kind") == WHOLE).join(sets.drop("prefix"), "node").select("kind", F.pmod(F.xxhash64("label"), F.lit(n_tasks)).alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "n_shingles", "shared", "copies", none)
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Rows ``(kind, task, size, node)``, each sent to the tasks of its block with every block."""
+        sent = rows.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        return sent.select("kind", "task", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"), F.when(F.col("own") > F.col("partner"), 1).otherwise(0).alias("side"), "node")
+
+    large = in_blocks(dealt.where(F.col("kind") == BY_BLOCK).select("kind", F.xxhash64("label").alias("task"), "size", "node")).join(sets.drop("prefix"), "node").withColumn("prefix", none)
+    chained = written(tokens.join(shared.select("token"), "token").join(dealt.where(F.col("kind") == BY_TOKEN).select("node", "kind"), "node"), "chained")
+    n_token_tasks = max(1, chained.count() // group)
+    asked = chained.select("kind", F.pmod("token", F.lit(n_token_tasks)).alias("task"), "node").distinct()
+    held = asked.groupBy("task").agg(F.count(F.lit(1)).alias("size"))
+    by_tokens = in_blocks(asked.join(held, "task")).join(sets, "node")
+    return small.unionByName(large).unionByName(by_tokens).select(*columns), n_token_tasks
+
+
+def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, similarity: tuple[int, int], block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, group: int = GROUP, by_token: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents ``(doc_id, row, n_shingles, node)``, different sets ``(node, label, n_links)``, and the lead of each label
     ``(label, lead)``: the ``doc_id`` and ``row``, a hash of id and text, of the smallest id that links reach.
 
@@ -264,15 +298,17 @@ def linked_sets(docs: DataFrame, *, id_col: str, text_col: str, width: int, simi
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = text_bytes(source, "text")
     n_blocks, n_buckets = pieces(n_bytes, block_bytes, 2), pieces(n_bytes, bucket_bytes, 2)
-    dealt = source.select(block_of(n_blocks, "doc_id", "text"), F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    asked = dealt.groupBy("block").applyInArrow(lambda t: asks(t, width, n_buckets), "bucket int, block int, keys binary, counts binary")
-    told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, values binary")
+    tasks = dealt_tasks(n_bytes)
+    dealt = source.select(block_of(n_blocks, "doc_id", "text"), F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").repartition(tasks, "block")
+    asked = dealt.groupBy("block").applyInArrow(lambda t: asks(t, width, n_buckets), "bucket int, block int, keys binary, counts binary").repartition(tasks, "bucket")
+    told = asked.groupBy("bucket").applyInArrow(answers, "block int, bucket int, values binary").repartition(tasks, "block")
     rows = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: sets_of(d, t, width, n_buckets, num, den), SETS), "sets")
 
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), first)
     nodes = written(rows.where("prefix is not null").dropDuplicates(["node"]).drop("doc_id", "row").join(copies.drop("first"), "node"), "nodes")
-    links = written(candidate_tasks(nodes, group).groupBy("kind", "task", "i", "j").applyInArrow(lambda t: links_of(t, num, den), LINKS), "links")
+    searched, n_token_tasks = candidate_tasks(nodes, group, by_token)
+    links = written(searched.repartition(tasks, "kind", "task", "i", "j").groupBy("kind", "task", "i", "j").applyInArrow(lambda t: links_of(t, num, den, n_token_tasks), LINKS), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), "linked")
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     named = copies.join(labels, "node", "left").join(n_links, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -299,10 +335,12 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (80, 100), **sizes: int) -> DataFrame:
     """``docs`` without near copies: of each component the row of the smallest id stays, of rows equal in id and text one.
 
-    Documents without words are no copies of each other and all stay. All columns are kept. The text is shuffled once, by the
-    hash of its row.
+    Documents without words are no copies of each other and all stay. All columns are kept, of any names; of rows equal in id and
+    text but not in other columns any one stays. An empty table gives none. The text is shuffled once, by the hash of its row.
     """
-    stay = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)[2].select(F.col("lead.row").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    row, stays = unused(docs.columns, "row", "stays")
+    stay = linked_sets(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity, **sizes)[2].select(F.col("lead.row").alias(stays)).distinct()
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
-    return keyed.where(~wordless).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).unionByName(keyed.where(wordless)).drop("_row")
+    kept = keyed.where(~wordless).join(stay, F.col(row) == F.col(stays), "left_semi").dropDuplicates([row]).unionByName(keyed.where(wordless))
+    return kept.select(*quoted(*docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import binary, block_of, pack, pieces, runs, text_bytes, unpack, written
+from groundline.llm.common import binary, block_of, by_bucket, dealt_tasks, pack, pieces, runs, text_bytes, unpack, written
 
 ORDER = 5
 CHUNK = 1 << 18
@@ -200,12 +200,7 @@ def asks(table: pa.Table, n_grams: int, n_words: int) -> pa.Table:
     wk, wc = summed([word_keys(list(words))], [np.fromiter(words.values(), np.int64, len(words))])
     rows = []
     for key, count, of, shift in ((k, c, bucket, 0), (wk, wc, (wk % np.uint64(n_words)).astype(np.int64), n_grams)):
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange((n_grams, n_words)[shift > 0] + 1))
-        for b in range(len(ends) - 1):
-            if ends[b + 1] > ends[b]:
-                own = order[ends[b]:ends[b + 1]]
-                rows.append((b + shift, block, pack(key[own]), pack(count[own].astype(np.int64))))
+        rows += [(b + shift, block, pack(key[own]), pack(count[own].astype(np.int64))) for b, own in by_bucket(of)]
     columns = list(zip(*rows, strict=True))
     return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["bucket", "block", "keys", "counts"])
 
@@ -230,7 +225,7 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
     """A block's documents with their scores, and a row without score that carries its counts of training tokens and words."""
     texts = [lowered(t) for t in docs.column("text").to_pylist()]
     held = docs.column("held_out").to_pylist()
-    by_bucket = {b: (v, told.column("values")[i].as_py()) for i, (b, v) in enumerate(zip(told.column("bucket").to_pylist(), told.column("distinct").to_pylist(), strict=True))}
+    answered = {b: (v, told.column("values")[i].as_py()) for i, (b, v) in enumerate(zip(told.column("bucket").to_pylist(), told.column("distinct").to_pylist(), strict=True))}
     asked, starts, keys = [], [], []
     for some in chunks(texts):  # each chunk's distinct grams, and for each of its bytes which one it is
         g, begin = grams(some)
@@ -243,24 +238,16 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
         starts.append(begin)
     k = np.unique(np.concatenate(keys))
     value = np.empty(len(k))
-    bucket = gram_bucket(k, n_grams)
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n_grams + 1))
-    for b in range(n_grams):
-        if ends[b + 1] > ends[b]:
-            value[order[ends[b]:ends[b + 1]]] = unpack(by_bucket[b][1], "f4")
+    for b, own in by_bucket(gram_bucket(k, n_grams)):
+        value[own] = unpack(answered[b][1], "f4")
     number: defaultdict[bytes, int] = defaultdict(count_up().__next__)
     end = number[END]
     tokens = [np.fromiter(map(number.__getitem__, found := t.split()), np.int32, len(found)) for t in texts]
     wk = word_keys(list(number))
     uniq, back = np.unique(wk, return_inverse=True)
     count = np.empty(len(uniq), np.int64)
-    of = (uniq % np.uint64(n_words)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(n_words + 1))
-    for b in range(n_words):
-        if ends[b + 1] > ends[b]:
-            count[order[ends[b]:ends[b + 1]]] = unpack(by_bucket[n_grams + b][1], "i8")
+    for b, own in by_bucket((uniq % np.uint64(n_words)).astype(np.int64)):
+        count[own] = unpack(answered[n_grams + b][1], "i8")
     c_of = count[back]
     log_of, known = np.log10(c_of + 1.0), c_of > 0
     score = [x for own, place, begin in zip(keys, asked, starts, strict=True) for x in np.add.reduceat(value[np.searchsorted(k, own)][place], begin).tolist()]
@@ -268,7 +255,7 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
     n_known = [int(known[t].sum() + known[end]) for t in tokens]
     logs = [float(log_of[t].sum() + log_of[end]) for t in tokens]
     train = sum(n for n, h in zip(n_tokens, held, strict=True) if not h)
-    distinct = sum(v for v, _ in by_bucket.values())
+    distinct = sum(v for v, _ in answered.values())
     ids = docs.column("doc_id").to_pylist()
     pad = [None] * len(ids)
     return pa.Table.from_arrays([
@@ -290,9 +277,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = text_bytes(source, "text")
     n_blocks, n_grams, n_words = pieces(n_bytes, block_bytes, 2), pieces(n_bytes, bucket_bytes, 2), pieces(n_bytes, 4 * bucket_bytes)
     short = short_table(source)
-    dealt = source.select(block_of(n_blocks, "doc_id", "text"), "doc_id", "text", "held_out")
-    asked = dealt.groupBy("block").applyInArrow(lambda t: asks(t, n_grams, n_words), ASK)
-    told = asked.groupBy("bucket").applyInArrow(lambda t: answers(t, n_grams, short), ANSWER)
+    tasks = dealt_tasks(n_bytes)
+    dealt = source.select(block_of(n_blocks, "doc_id", "text"), "doc_id", "text", "held_out").repartition(tasks, "block")
+    asked = dealt.groupBy("block").applyInArrow(lambda t: asks(t, n_grams, n_words), ASK).repartition(tasks, "bucket")
+    told = asked.groupBy("bucket").applyInArrow(lambda t: answers(t, n_grams, short), ANSWER).repartition(tasks, "block")
     rows = written(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: scores(d, t, n_grams, n_words), SCORED), "ppm-scores")
     totals = rows.where(F.col("n_tokens").isNull()).agg(F.sum("train_tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import binary, block_of, pack, pieces, runs, text_bytes, unpack
+from groundline.llm.common import binary, block_of, by_bucket, dealt_tasks, pack, pieces, runs, text_bytes, unpack
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
@@ -98,14 +98,6 @@ def _bytes_of(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return [(t or "").encode("utf-8", "replace") for t in table.column("text").to_pylist()], ids
 
 
-def _by_bucket(of: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(n + 1))
-    for b in range(n):
-        if ends[b + 1] > ends[b]:
-            yield b, order[ends[b]:ends[b + 1]]
-
-
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) or [[] for _ in names]
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * (len(names) - 2)]
@@ -123,7 +115,7 @@ def ask_files(table: pa.Table, n_buckets: int) -> pa.Table:
     first = np.minimum.reduceat(owner, at) if len(at) else owner
     block = table.column("block")[0].as_py()
     of = (files % np.uint64(n_buckets)).astype(np.int64)
-    return _table([(b, block, pack(files[o] >> np.uint64(24)), pack(np.where(shared[o], -1, first[o]))) for b, o in _by_bucket(of, n_buckets)], ["bucket", "block", "keys", "owners"])
+    return _table([(b, block, pack(files[o] >> np.uint64(24)), pack(np.where(shared[o], -1, first[o]))) for b, o in by_bucket(of)], ["bucket", "block", "keys", "owners"])
 
 
 def answer_files(table: pa.Table) -> pa.Table:
@@ -145,7 +137,7 @@ def send_stretches(docs: pa.Table, told: pa.Table, n_files: int, n_buckets: int)
     files = np.unique(s.file)
     shared = np.zeros(len(files), bool)
     answers = dict(zip(told.column("bucket").to_pylist(), binary(told, "values"), strict=True))
-    for b, o in _by_bucket((files % np.uint64(n_files)).astype(np.int64), n_files):
+    for b, o in by_bucket((files % np.uint64(n_files)).astype(np.int64)):
         shared[o] = unpack(answers[b], "u1") > 0
     mine = np.flatnonzero(shared[np.searchsorted(files, s.file)])
     order = mine[np.lexsort((ids[s.text[mine]], s.name[mine]))]
@@ -153,7 +145,7 @@ def send_stretches(docs: pa.Table, told: pa.Table, n_files: int, n_buckets: int)
     block = docs.column("block")[0].as_py()
     of = ((s.file[order] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
     rows = []
-    for b, o in _by_bucket(of, n_buckets):
+    for b, o in by_bucket(of):
         own = order[o]
         length = s.windows[own] + LENGTH - 1
         place = np.repeat(s.begin[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
@@ -318,9 +310,10 @@ def remove_repeats(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = text_bytes(source, "text")
     n_blocks, n_files, n_stretches = pieces(n_bytes, block_bytes, 2), pieces(n_bytes, file_bucket_bytes), pieces(n_bytes, stretch_bucket_bytes, 2)
-    dealt = source.select(block_of(n_blocks, "doc_id", "text"), "doc_id", "text")
-    asked = dealt.groupBy("block").applyInArrow(lambda t: ask_files(t, n_files), "bucket int, block int, keys binary, owners binary")
-    told = asked.groupBy("bucket").applyInArrow(answer_files, "block int, bucket int, values binary")
+    tasks = dealt_tasks(n_bytes)
+    dealt = source.select(block_of(n_blocks, "doc_id", "text"), "doc_id", "text").repartition(tasks, "block")
+    asked = dealt.groupBy("block").applyInArrow(lambda t: ask_files(t, n_files), "bucket int, block int, keys binary, owners binary").repartition(dealt_tasks(n_bytes, file_bucket_bytes, 2), "bucket")
+    told = asked.groupBy("bucket").applyInArrow(answer_files, "block int, bucket int, values binary").repartition(tasks, "block")
     sent = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, t: send_stretches(d, t, n_files, n_stretches), "bucket int, block int, names binary, lengths binary, bytes binary, owners binary")
-    parts = sent.groupBy("bucket").applyInArrow(answer_stretches, "block int, bucket int, names binary, firsts binary, ends binary, owners binary")
+    parts = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(answer_stretches, "block int, bucket int, names binary, firsts binary, ends binary, owners binary").repartition(tasks, "block")
     return dealt.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(lambda d, t: cut_out(d, t, with_text), RESULT)

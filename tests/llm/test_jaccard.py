@@ -49,11 +49,11 @@ def corpus(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 512), (2, 8), (3, 3)])
-def test_against_brute_force(spark, seed, group):
+@pytest.mark.parametrize(("seed", "group", "by_token"), [(1, 512, None), (2, 8, True), (3, 3, False), (4, 2, True), (5, 4, None)])
+def test_against_brute_force(spark, seed, group, by_token):
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, b"x") for i, t in docs], "doc_id long, text string, label int, node binary")
-    found = jaccard.jaccard_join(df, block_bytes=3000, bucket_bytes=2000, group=group).collect()
+    found = jaccard.jaccard_join(df, block_bytes=3000, bucket_bytes=2000, group=group, by_token=by_token).collect()
     assert sorted(map(tuple, found)) == brute(docs)
 
 
@@ -86,3 +86,16 @@ def test_components(spark):
 def test_blocks_of_fewer_words_than_a_shingle(texts, width):
     hashes, sizes = jaccard.shingle_sets(texts, width)
     assert sizes.tolist() == [1] * len(texts) and len(set(hashes.tolist())) == len(texts)
+
+
+def test_merging_sorted_lists():
+    import heapq
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(50):
+        lists = [np.array(sorted(rng.sample(range(200), rng.randint(0, 60)))) for _ in range(rng.randint(1, 12))]
+        want = list(heapq.merge(*(x.tolist() for x in lists)))
+        values, counts = jaccard.merge_lists(lists)
+        assert values.tolist() == sorted(set(want)) and counts.tolist() == [want.count(v) for v in sorted(set(want))]
