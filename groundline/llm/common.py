@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ def quoted(*names: str) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def numbered_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names that Python functions can be given, ``c0`` and so on, and the new name of each old one. ``toDF`` with the old names
+    undoes it."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def fields_of(df: DataFrame) -> str:
     """The columns of ``df`` as a schema in words."""
     return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema.fields)
@@ -66,8 +74,7 @@ def dealt_tasks(n_bytes: int, each: int = 8 << 20, least: int = 8, most: int = 2
 def by_bucket(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that ``of`` names, with the places that name it. The work doesn't depend on how many buckets there are."""
     order = np.argsort(of, kind="stable")
-    at = runs(of[order])
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+    for a, b in pairwise([*runs(of[order]).tolist(), len(order)]):
         yield int(of[order[a]]), order[a:b]
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.llm.common import WORD, written
+from groundline.llm.common import WORD, quoted, unused, written
 
 #: Pieces of a hot source in the join that gives documents their source's figures.
 SALT = 32
@@ -148,12 +148,15 @@ def taken_words(placed: DataFrame, block_tokens: int, max_repeats: int, seed: in
     )
 
 
-def take_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns and ``size, source_size, target, taken``.
+def take_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, of any names, and ``size, source_size, target, taken``; where a column has such
+    a name already, the new one gets an underscore before it.
 
     Documents of which nothing is taken go. Rows equal in id and text are told apart by nothing, so each counts as its likes' mean.
     """
-    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    mixed = mix_sources(docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"))), id_col="_row", text_col=text_col, **options)
-    took = mixed.groupBy(F.col("doc_id.row").alias("_row")).agg(*(F.first(c).alias(c) for c in ("size", "source_size", "target")), F.round(F.avg("taken")).cast("long").alias("taken"))
-    return docs.withColumn("_row", row).join(took, "_row").where("taken > 0").drop("_row")
+    row, like, *told = unused(docs.columns, "row", "like", "size", "source_size", "target", "taken")
+    own = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), own.alias("row")).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    mixed = mix_sources(keyed, **options)
+    took = mixed.groupBy(F.col("doc_id.row").alias(like)).agg(*(F.first(c).alias(n) for c, n in zip(("size", "source_size", "target"), told, strict=False)), F.round(F.avg("taken")).cast("long").alias(told[3]))
+    return docs.withColumn(row, own).join(took, F.col(row) == F.col(like)).where(F.col(told[3]) > 0).select(*quoted(*docs.columns), *told)

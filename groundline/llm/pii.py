@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundline.llm.boosting import Boosted
-from groundline.llm.common import parts_of
+from groundline.llm.common import fields_of, numbered_names, parts_of, unused
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "id", "secret")
@@ -243,27 +243,32 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     the model adds. A null text is an empty one, without spans. Texts of any length are searched whole. Repeated rows each get
     a row; an empty table gives none; other columns are left out, so none can clash.
     """
-    found = [x.split()[0] for x in FOUND.split(", ")][: None if with_text else -1]
-    return search_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), ("doc_id",)).select("doc_id", *(F.col(f"_{c}").alias(c) for c in found))
+    found, names = search_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ("doc_id",))
+    told = dict(zip((x.split()[0] for x in FOUND.split(", ")), names, strict=True))
+    return found.select("doc_id", *(F.col(n).alias(c) for c, n in told.items() if with_text or c != "redacted"))
 
 
 def redact_documents(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with their texts redacted and ``length_col``, if there is one, set to the new length. A null text stays null."""
-    found = search_pii(docs.withColumn("_text", F.col(text_col)), tuple(docs.columns))
-    text = F.when(F.col(text_col).isNotNull(), F.col("_redacted"))
-    length = {length_col: F.when(F.col(text_col).isNotNull(), F.length("_redacted")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {}
-    return found.select(*(text.alias(c) if c == text_col else length[c].alias(c) if c in length else F.col(c) for c in docs.columns))
-
-
-def search_pii(source: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """``carry`` of ``source(_text, ...)`` with the columns of ``FOUND``, each under a leading ``_``."""
+    """``docs`` with their texts redacted and ``length_col``, if there is one, set to the new length. A null text stays null, an empty one
+    empty. All columns are kept, of any names; repeated rows each get a row; an empty table gives none."""
+    plain, own = numbered_names(docs)
+    found, names = search_pii(plain, own[text_col], tuple(plain.columns))
+    has, redacted = F.col(own[text_col]).isNotNull(), F.col(names[-1])
+    new = {text_col: F.when(has, redacted)}
+    if length_col in own:
+        new[length_col] = F.when(has, F.length(redacted)).otherwise(F.col(own[length_col])).cast(docs.schema[length_col].dataType)
+    return found.select(*(new[c].alias(n) if c in new else n for c, n in own.items())).toDF(*docs.columns)
+
+
+def search_pii(docs: DataFrame, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """``carry`` of ``docs`` with the columns of ``FOUND``, and the names that those have here."""
     trees, limits = model()
-    names = [f"_{x.split()[0]}" for x in FOUND.split(", ")]
+    names = unused(docs.columns, *(x.split()[0] for x in FOUND.split(", ")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, "_text"):
-                texts = [t or "" for t in part.column("_text").to_pylist()]
+            for part in parts_of(batch, text_col):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
                 found = redactions(texts, trees, limits)
                 counts = [Counter(k for _, _, k in b) for b, _ in found]
                 columns = [
@@ -272,5 +277,6 @@ def search_pii(source: DataFrame, carry: tuple[str, ...]) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *columns], [*carry, *names])
 
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
-    return source.select(*carry, *(["_text"] if "_text" not in carry else [])).mapInArrow(search, f"{fields}, " + ", ".join(f"_{x}" for x in FOUND.split(", ")))
+    source = docs.select(*dict.fromkeys([*carry, text_col]))
+    kinds = ", ".join(f"{n} {x.split()[1]}" for n, x in zip(names, FOUND.split(", "), strict=True))
+    return source.mapInArrow(search, f"{fields_of(docs.select(*carry))}, {kinds}"), names

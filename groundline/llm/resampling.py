@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import WORD, binary, fields_of, pack, parts_of, quoted, unpack, unused, written
+from groundline.llm.common import WORD, binary, fields_of, numbered_names, pack, parts_of, quoted, unpack, unused, written
 
 FIND = re.compile(WORD).findall
 MAX_LABELLED = 20_000
@@ -215,8 +215,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that :func:`classify` keeps, with all their columns, of any names. The text passes through once and isn't shuffled."""
-    rated, keep, _ = rate(docs, labels, id_col, text_col, tuple(docs.columns), **options)
-    return rated.where(keep).select(*quoted(*docs.columns))
+    plain, names = numbered_names(docs)
+    rated, keep, _ = rate(plain, labels, names[id_col], names[text_col], tuple(plain.columns), **options)
+    return rated.where(keep).select(*plain.columns).toDF(*docs.columns)
 
 
 def rate(

@@ -5,6 +5,9 @@ handed over as a line and the line separator is one zero byte. The last byte of
 zero for records under 16 MiB, so for those the separator is that byte; a longer member keeps all its bytes and the
 separator stands as padding, which readers of gzip skip.
 
+Files are bounded by bytes: a task begins a new archive when the one it writes has ``archive_bytes``, and the driver gives
+the committed files their ``.warc.gz`` names. A revisit's record needs no payload, so only responses move with theirs.
+
 The reader checks each member's CRC, its version line, its block length and its payload digest. After a failed check it
 searches for the next valid member (or, in plain archives, the next version line that begins a whole record), goes on from
 there, and logs the bytes between as a quarantined gap.
@@ -23,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import scratch_dir
+from groundline.llm.common import written
+from groundline.sources.scratch import scratch_path
 
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/\d+\.\d+\r?\n")
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 LOG = "path string, gap_start long, gap_end long, reason string"
-#: Pieces of a hot payload in the join that tells its pages which of them is the response.
-SALT = 16
+#: Pieces of a hot payload in the join that tells its pages which of them is the response; rows of that join have no payload.
+SALT = 64
+ARCHIVE_BYTES = 64 << 20
 
 
 def record_id(page_id: int | None) -> str:
@@ -156,43 +161,72 @@ def _next_start(data: bytes, p: int) -> int:
 
 
 def classify(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
-    """``pages(page_id, url, html)`` with ``payload_bytes, payload_digest, record_type, refers_to``.
+    """``pages(page_id, url, html)`` as ``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to``; a revisit's payload is null.
 
     Of equal payloads of at least ``revisit_bytes`` the one with the largest page_id is the response. Digests are counted
-    before they are joined back, and a hot digest is dealt to ``SALT`` pieces of the join.
+    before they are joined back, a hot digest is dealt to ``SALT`` pieces of the join, and payloads take no part in it. Only
+    then the responses' payloads are looked up, by page_id and digest.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
+    narrow = written(hashed.drop("payload"), "payload-digests")
     groups = (
-        hashed.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first"))
-        .where("n > 1").select(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+        narrow.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first"))
+        .where("n > 1 and first is not null").select("payload_digest", "payload_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    )
+    salted = narrow.where(F.col("payload_bytes") >= revisit_bytes).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    told = salted.join(groups, ["payload_digest", "payload_bytes", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = written(told.select("page_id", "url", "payload_bytes", "payload_digest", "first"), "revisits")
+    gone = revisits.select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d")).distinct()
+    responses = hashed.join(gone, hashed["page_id"].eqNullSafe(gone["_p"]) & (hashed["payload_digest"] == gone["_d"]), "left_anti")
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}).select(*columns).unionByName(
+        revisits.withColumns({"payload": F.lit(None).cast("binary"), "record_type": F.lit("revisit"), "refers_to": F.col("first")}).select(*columns)
     )
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT))
-    joined = hashed.withColumn("salt", salt).join(groups, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")) & (F.col("salt") == F.col("_salt")), "left")
-    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, *, revisit_bytes: int = 1000, records_per_file: int = 4000) -> None:
-    """Writes a record per row of ``pages(page_id, url, html)`` to ``.warc.gz``-style files under ``path``.
+def write_archives(pages: DataFrame, path: str, *, revisit_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record per row of ``pages(page_id, url, html)`` to ``.warc.gz`` files of about ``archive_bytes`` under ``path``; a longer
+    record is a file of its own.
 
     A null html is an empty payload. Rows that share the largest page_id of a payload are all responses; a null page_id
-    revisits any other. An empty table writes an archive without records. Other columns are left out.
+    revisits any other, and payloads of null page_ids alone are responses. An empty table writes an archive without records.
+    Other columns are left out.
     """
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, held = 0, 0
         for batch in batches:
-            lines = []
-            for row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes")], strict=True):
-                member = compress(encode(*row))
+            lines, archives = [], []
+            for row in zip(*[batch.column(c) for c in ("page_id", "url", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes")], strict=True):
+                member = compress(encode(*(x.as_py() for x in row)))
+                if held and held + len(member) > archive_bytes:
+                    archive, held = archive + 1, 0
+                held += len(member)
                 lines.append(member[:-1] if member[-1] == 0 else member)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["line"])
+                archives.append(archive)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), pa.array(archives, pa.int32())], ["line", "archive"])
+
+    rows = classify(pages, revisit_bytes).mapInArrow(members, "line binary, archive int")
+    rows.select(F.col("line").cast("string").alias("value"), "archive").write.option("lineSep", "\u0000").partitionBy("archive").text(path)
+    named(pages.sparkSession, path)
+
 
-    rows = classify(pages, revisit_bytes).mapInArrow(members, "line binary")
-    rows.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\u0000").option("maxRecordsPerFile", records_per_file).text(path)
+def named(spark, path: str) -> None:
+    """Gives the committed files under ``path`` the names of archives: a rename each, no data moves."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = java(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        if file.getName().startswith("part-") and file.getName().endswith(".txt"):
+            fs.rename(file, java(file.getParent(), file.getName()[:-4] + ".warc.gz"))
 
 
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives under ``path``, and a row with ``gap_start, gap_end, reason`` for each quarantined gap."""
+    """The records of all ``.warc`` and ``.warc.gz`` archives under ``path``, and a row with ``gap_start, gap_end, reason`` for each
+    quarantined gap. An archive is read as one value of at most 2 GB; Spark refuses longer ones with an error. No archive at all gives
+    no row."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -211,14 +245,16 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in f"{records}, {LOG}".split(", ")])
     names = schema.names
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
     return files.select("path", "content").mapInArrow(parse, f"{records}, {LOG}")
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes ``pages`` as archives in the shared folder, reads them back, and returns the records without payloads."""
+    """Writes ``pages`` as archives in the shared folder, reads them back, and returns the records without payloads. A gap in what was just
+    written is an error."""
     spark = pages.sparkSession
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_archives(pages, path, **options)
     found = read_archives(spark, path, with_payload=False)
-    return found.where(F.col("reason").isNull())
+    damaged = F.raise_error(F.concat(F.lit("damaged archive: "), "path", F.lit(": "), "reason")).cast("boolean")
+    return found.where(F.when(F.col("reason").isNotNull(), damaged).otherwise(F.lit(True)))

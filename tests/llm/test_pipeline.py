@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from groundline.llm import decontamination, jaccard, pii
+from groundline.llm import decontamination, jaccard, mixing, pii, resampling
 from groundline.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -63,13 +63,33 @@ def test_later_stages(stages):
     assert (mixed["taken"] > 0).all() and (mixed["taken"] <= 2 * mixed["size"]).all()
 
 
+CLASHING = ["_text", "_row", "row", "stays", "size", "target", "taken", "like", "_spans", "spans", "n_email", "redacted", "matches", "match_row", "role", "key", "importance", "_toxicity", "block", "a b", "a.b", "`q"]
+
+
 def test_rows_that_clash(spark):
-    rows = [(1, "same words in this text " * 3, "en", "s", 1, "z"), (1, "same words in this text " * 3, "en", "s", 1, "z"), (None, "other", "en", None, 1, "z"), (2, None, None, "s", None, "z"), (3, "", "en", "s", 0, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string")
-    assert jaccard.drop_near_copies(docs).count() == 4
+    """Each stage's function keeps rows with nulls, repeated rows and columns of all the names it uses itself."""
+    rows = [(1, "same words in this text " * 3, "en", "s", 1), (1, "same words in this text " * 3, "en", "s", 1), (None, "other", "en", None, 1), (2, None, None, "s", None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, *CLASHING) for r in rows], pd_schema := "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHING))
     bench = spark.createDataFrame([(1, "same words in this text")], "item_id long, text string")
-    assert decontamination.clean_documents(docs.drop("_text"), bench).count() == 3
-    assert pii.redact_documents(docs.drop("_text")).count() == 5
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    stages = {
+        "select": (lambda d: resampling.select(d, labels, k=5), 5), "near": (jaccard.drop_near_copies, 4), "leaks": (lambda d: decontamination.clean_documents(d, bench), 3), "pii": (pii.redact_documents, 5), "mix": (mixing.take_documents, None),
+    }
+    for name, (stage, n) in stages.items():
+        found = stage(docs)
+        assert found.columns[:len(docs.columns)] == docs.columns and len(set(map(str.lower, found.columns))) == len(found.columns), name
+        kept = corpus_pipeline.written(found, "clash").collect()
+        assert n is None or len(kept) == n, name
+        assert all(list(r)[5:5 + len(CLASHING)] == CLASHING for r in kept), name
+        assert stage(spark.createDataFrame([], pd_schema)).count() == 0, name
+
+
+def test_empty_tables(spark, tmp_path):
+    """The whole pipeline over tables without rows."""
+    sf = "/root/testdata/sf0.001"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -58,7 +58,7 @@ def test_round_trip(spark):
     long, other = "é" * 500, "b" * 1000
     pages = [(1, "u", long), (5, "u 1", long), (3, None, long), (2, "v", "a" * 999), (4, "v", "a" * 999), (6, "w", None), (7, "w", ""), (8, "x\r\ny", other), (None, "n", other), (9, "z", "WARC/1.1\r\n\r\n\r\n" * 80), (5, "u 1", long), (10, "e", "x\ud800"[:1])]
     df = spark.createDataFrame([(*p, 1, "r") for p in pages], "page_id long, url string, html string, payload int, record_type string")
-    rows = warc.round_trip(df, records_per_file=3).collect()
+    rows = warc.round_trip(df, archive_bytes=700).collect()
     first = {long: 5, other: 8}
     want = []
     for i, _, html in pages:
@@ -70,6 +70,34 @@ def test_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_have_their_names_and_sizes(spark, tmp_path):
+    noise = random.Random(5)
+    df = spark.createDataFrame([(i, "u", noise.randbytes(400).hex()) for i in range(60)], "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(df, str(tmp_path / "w"), archive_bytes=4000)
+    files = [f for f in (tmp_path / "w").rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+    assert all(f.name.endswith(".warc.gz") and f.stat().st_size <= 4100 for f in files) and len(files) > 5
+    assert sum(len(gzip.decompress(f.read_bytes()).split(b"WARC/1.1\r\n")) - 1 for f in files) == 60
+    (files[0].parent / f".{files[0].name}.crc").unlink()
+    files[0].write_bytes(files[0].read_bytes()[:100])
+    rows = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sum(r["reason"] is not None for r in rows) == 1
+
+
+def test_round_trip_leaves_nothing_and_raises_on_damage(spark, monkeypatch):
+    from groundline.sources import scratch
+
+    scratch.clear(spark)
+    df = spark.createDataFrame([(1, "u", "x" * 2000)], "page_id long, url string, html string")
+    path = warc.round_trip(df).select("path").first()[0]
+    assert scratch.clear(spark) >= 1
+    import os
+
+    assert not os.path.exists(path.removeprefix("file:"))
+    monkeypatch.setattr(warc, "compress", lambda record: b"\x1f\x8b\x08 broken")
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.round_trip(df).collect()
+
+
 def test_payloads_come_back(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     warc.write_archives(pages, str(tmp_path / "w"))
