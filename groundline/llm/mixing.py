@@ -1,8 +1,9 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks. DataFrame functions only.
 
 Sources get integer numbers of blocks by highest quotients ``target / (2k + 1)``, then each source's number is
-apportioned to its shards by the same rule, and each shard picks its blocks by a seeded draw. A shard is a hash bucket of
-one source's documents in a seeded order, so a hot source is many shards and no window holds more than one of them.
+apportioned to its regions, and each region's to its shards, by the same rule, and each shard picks its blocks by a seeded draw.
+A shard is a hash bucket of one source's documents in a seeded order and a region some hundreds of shards, so of a hot source no
+window holds more than one shard's documents, one region's shards, or a row for each of its regions of a quarter million documents.
 
 The highest quotients are found without listing them all: seats that any divisor near the final one would give are given
 at once, and only the few quotients around the margin are ranked.
@@ -86,7 +87,7 @@ def apportion(units: DataFrame, group: Sequence[str], unit: Sequence[str], weigh
 
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
-    max_repeats: int = 2, block_tokens: int = 16, shard_docs: int = 1024, seed: int = 17,
+    max_repeats: int = 2, block_tokens: int = 16, shard_docs: int = 1024, region_shards: int = 256, seed: int = 17,
 ) -> DataFrame:
     """How many words of each document the mix takes: ``doc_id, size, source_size, target, taken``, a row per document.
 
@@ -117,7 +118,11 @@ def mix_sources(
     rows = rows.select("doc_id", "source", "size", "key", "source_size", "target", "source_quota", F.pmod(F.col("digits"), F.col("n_shards")).alias("shard"))
 
     units = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    quotas = apportion(units, ["source"], ["shard"], "shard_size", "source_quota").select(F.col("source").alias("_s"), F.col("shard").alias("_shard"), "shard_size", "quota")
+    units = units.withColumn("region", F.expr(f"shard div {region_shards}"))
+    regions = apportion(units.groupBy("source", "region").agg(F.sum("shard_size").alias("region_size"), F.first("source_quota").alias("source_quota")), ["source"], ["region"], "region_size", "source_quota")
+    regions = regions.select(F.col("source").alias("_s"), F.col("region").alias("_r"), F.col("quota").alias("region_quota"))
+    units = units.join(regions, units["source"].eqNullSafe(regions["_s"]) & (units["region"] == regions["_r"])).select("source", "region", "shard", "shard_size", "region_quota")
+    quotas = apportion(units, ["source", "region"], ["shard"], "shard_size", "region_quota").select(F.col("source").alias("_s"), F.col("shard").alias("_shard"), "shard_size", "quota")
 
     in_shard = Window.partitionBy("source", "shard").orderBy("key", "size", F.asc_nulls_last("doc_id"))
     placed = rows.withColumn("end", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -29,7 +29,10 @@ MIX = f"""
     q AS (SELECT t.*, coalesce(quota, 0) source_quota, greatest(1, CAST(ceil(n_docs / 1024.0) AS BIGINT)) n_shards FROM t LEFT JOIN won USING (r)),
     p AS (SELECT d.doc_id, d.source, size, source_size, target, source_quota, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) k, {digits("'17'", "coalesce(CAST(doc_id AS VARCHAR), '')")} % n_shards shard FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
     u AS (SELECT source, shard, CAST(sum(size) AS BIGINT) shard_size, any_value(source_quota) sq FROM p GROUP BY 1, 2),
-    su AS (SELECT source, shard, count(*) quota FROM (SELECT source, shard, sq, row_number() OVER (PARTITION BY source ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) place FROM u, unnest(range(0, 2 * shard_size // 16 + 30)) z(k) WHERE shard_size > 0) WHERE place <= sq GROUP BY 1, 2),
+    v AS (SELECT source, shard // 256 region, sum(shard_size) region_size, any_value(sq) sq FROM u GROUP BY 1, 2),
+    vq AS (SELECT source, region, count(*) quota FROM (SELECT source, region, sq, row_number() OVER (PARTITION BY source ORDER BY region_size::DOUBLE / (2 * k + 1) DESC, region, k) place FROM v, unnest(range(0, CAST(2 * region_size // 16 + 30 AS BIGINT))) z(k) WHERE region_size > 0) WHERE place <= sq GROUP BY 1, 2),
+    su AS (SELECT source, shard, count(*) quota FROM (SELECT u.source, shard, quota rq, row_number() OVER (PARTITION BY u.source, region ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) place
+           FROM u JOIN vq ON vq.source IS NOT DISTINCT FROM u.source AND region = shard // 256, unnest(range(0, 2 * shard_size // 16 + 30)) z(k) WHERE shard_size > 0) WHERE place <= rq GROUP BY 1, 2),
     n AS (SELECT u.*, greatest(1, (shard_size + 15) // 16) n, least(coalesce(quota, 0), 2 * greatest(1, (shard_size + 15) // 16)) owed, {digits("'18'", "coalesce(u.source, '')", "CAST(u.shard AS VARCHAR)")} % greatest(1, (shard_size + 15) // 16) start FROM u LEFT JOIN su ON su.source IS NOT DISTINCT FROM u.source AND su.shard = u.shard),
     blocks AS (SELECT source, shard, b, (b + 1 + start) * (owed % n) // n > (b + start) * (owed % n) // n drawn FROM n, unnest(range(0, n)) z(b)),
     placed AS (SELECT p.*, sum(size) OVER (PARTITION BY source, shard ORDER BY k, size, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) e FROM p),

@@ -34,7 +34,7 @@ def corpus(seed, n=400):
 def test_targets_and_limits(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, 1, "q") for d in docs], "doc_id long, text string, source string, target int, shard string")
-    found = mixing.mix_sources(df, shard_docs=16, block_tokens=8)
+    found = mixing.mix_sources(df, shard_docs=16, block_tokens=8, region_shards=3)
     rows = found.collect()
     assert len(rows) == len(docs)
     sizes = {}
@@ -48,7 +48,7 @@ def test_targets_and_limits(spark, seed):
         own = [r for r in rows if r["source_size"] == z]
         assert all(r["target"] == pytest.approx(t) for r in own)
         assert abs(sum(r["taken"] for r in own) - t) <= 2 * 8 * (len(own) // 16 + 2)  # a shard may miss a block by its number, and part of one by its short end
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(df, shard_docs=16, block_tokens=8).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(df, shard_docs=16, block_tokens=8, region_shards=3).collect()))
 
 
 @pytest.mark.parametrize(("weights", "seats"), [([53, 24, 23], 7), ([10, 10, 10], 4), ([1, 1000], 9), ([5], 3), ([0, 7, 3], 10), ([1, 1], 0), ([100, 1, 1, 1, 1, 1], 13)])
@@ -59,6 +59,14 @@ def test_seats_by_highest_quotients(spark, weights, seats):
     assert found == {i: sum(q[1] == i for q in quotients) for i in range(len(weights))}
 
 
+def test_no_window_of_all_shards(spark):
+    """The windows over shards are by region too; those by source alone are over regions."""
+    df = spark.createDataFrame(corpus(3), "doc_id long, text string, source string")
+    plan = mixing.mix_sources(df, shard_docs=4, region_shards=5)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = [line for line in plan.split("\n") if "row_number()" in line and "shard#" in line]
+    assert ranked and all(re.search(r"windowspecdefinition\(source#\w+, region#", line) for line in ranked)
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     rows = mixing.mix_sources(spark.createDataFrame([(1, " \t", "a"), (2, None, None)], "doc_id long, text string, source string")).collect()
