@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count as count_up
 
 import numpy as np
@@ -58,29 +59,45 @@ def _mixed(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Four n-gram numbers for each word of the texts, one row per word, and each text's number of words."""
+@dataclass
+class Tokens:
+    """Words of texts, one after another, as numbers of the different ones; and each text's number of words."""
+
+    words: list[str]
+    ids: np.ndarray
+    sizes: np.ndarray
+
+
+def tokenised(texts: list[str]) -> Tokens:
     number: defaultdict[str, int] = defaultdict(count_up().__next__)
     found = [np.fromiter(map(number.__getitem__, words := FIND(t)), np.int32, len(words)) for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    if not number:
-        return np.zeros((0, 4), np.int64), sizes
-    words = list(number)
-    codes = pd.util.hash_array(np.array([w.lower() for w in words], dtype=object), categorize=False)
-    shapes = np.fromiter(map(_shape, words), np.uint64, len(words))
-    ids = np.concatenate(found)
-    h, s = codes[ids], shapes[ids] * np.uint64(4)
-    first = np.zeros(len(ids) + 1, bool)
-    first[np.cumsum(sizes) - sizes] = True
-    first, second = first[:-1], np.r_[False, first[:-1]][:len(ids)]
+    return Tokens(list(number), np.concatenate([np.zeros(0, np.int32), *found]), sizes)
+
+
+def ngrams(t: Tokens) -> list[np.ndarray]:
+    """Four n-gram numbers for each word, an array per kind."""
+    if not t.words:
+        return [np.zeros(0, np.int64)] * 4
+    codes = pd.util.hash_array(np.array([w.lower() for w in t.words], dtype=object), categorize=False)
+    shapes = np.fromiter(map(_shape, t.words), np.uint64, len(t.words))
+    h, s = codes[t.ids], (shapes * np.uint64(4))[t.ids]
+    first = np.zeros(len(t.ids) + 1, bool)
+    first[np.cumsum(t.sizes) - t.sizes] = True
+    first, second = first[:-1], np.r_[False, first[:-1]][:len(t.ids)]
     s[1:] |= ((h[1:] == h[:-1]) & ~first[1:]).astype(np.uint64)
     s[2:] |= ((h[2:] == h[:-2]) & ~(first | second)[2:]).astype(np.uint64) << np.uint64(1)
-    before = lambda x: np.where(first, np.uint64(0), np.r_[np.uint64(0), x[:-1]])
+
+    def before(x: np.ndarray) -> np.ndarray:
+        out = np.r_[np.uint64(0), x[:-1]]
+        out[first] = 0
+        return out
+
     at = 1 << BITS
-    return np.stack([
-        _mixed(h, BITS), at + _mixed(h * np.uint64(3) + before(h) * np.uint64(0xBF58476D1CE4E5B9), BITS),
+    return [
+        _mixed(codes, BITS)[t.ids], at + _mixed(h * np.uint64(3) + before(h) * np.uint64(0xBF58476D1CE4E5B9), BITS),
         2 * at + _mixed(s + np.uint64(1), SHAPE_BITS), 2 * at + (1 << SHAPE_BITS) + _mixed(s * np.uint64(5) + before(s) * np.uint64(0x94D049BB133111EB) + np.uint64(7), SHAPE_BITS),
-    ], axis=1), sizes
+    ]
 
 
 def weights(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -94,36 +111,34 @@ def weights(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def importance(texts: list[str], weight: np.ndarray) -> np.ndarray:
+def importance(t: Tokens, weight: np.ndarray) -> np.ndarray:
     """Each text's log ratio of the models, over all its words; ``EMPTY`` for one without words."""
-    rows, sizes = ngrams(texts)
-    upto = np.r_[0.0, np.cumsum(weight[rows].mean(axis=1, dtype=np.float64))]
-    ends = np.cumsum(sizes)
-    return np.where(sizes > 0, upto[ends] - upto[ends - sizes], EMPTY)
+    value = np.zeros(len(t.ids))
+    for grams in ngrams(t):
+        value += weight[grams]
+    upto, ends = np.r_[0.0, np.cumsum(value / 4)], np.cumsum(t.sizes)
+    return np.where(t.sizes > 0, upto[ends] - upto[ends - t.sizes], EMPTY)
 
 
-def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def terms(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the texts' words, in lower case without outer symbols, and of their pairs; and the text of each."""
-    number: defaultdict[str, int] = defaultdict(count_up().__next__)
-    found = [np.fromiter(map(number.__getitem__, words := FIND(t)), np.int32, len(words)) for t in texts]
-    if not number:
+    if not t.words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bare = np.array([w.lower() if w.isalnum() else OUTER.sub("", w.lower()) for w in number], dtype=object)
-    ids, text = np.concatenate(found), np.repeat(np.arange(len(found)), list(map(len, found)))
-    some = (bare != "")[ids]
-    h, text = pd.util.hash_array(bare, categorize=False)[ids[some]], text[some]
+    bare = np.array([w.lower() if w.isalnum() else OUTER.sub("", w.lower()) for w in t.words], dtype=object)
+    some = (bare != "")[t.ids]
+    h, text = pd.util.hash_array(bare, categorize=False)[t.ids[some]], np.repeat(np.arange(len(t.sizes)), t.sizes)[some]
     pair = text[1:] == text[:-1]
     pairs = _mixed(h[1:] * np.uint64(3) + h[:-1] * np.uint64(0xBF58476D1CE4E5B9), 64)
     return np.r_[h.view(np.int64), pairs[pair]], np.r_[text, text[1:][pair]]
 
 
-def toxicity(texts: list[str], known: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def toxicity(t: Tokens, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Each text's sum of the ``WORST`` weights among its terms; ``known`` terms are sorted, others weigh nothing."""
-    out = np.zeros(len(texts))
+    out = np.zeros(len(t.sizes))
     if len(known):
         table = np.zeros(1 << FILTER_BITS, bool)
         table[known & ((1 << FILTER_BITS) - 1)] = True
-        term, text = terms(texts)
+        term, text = terms(t)
         at = table[term & ((1 << FILTER_BITS) - 1)]
         term, text = term[at], text[at]
         place = np.minimum(np.searchsorted(known, term), len(known) - 1)
@@ -133,7 +148,7 @@ def toxicity(texts: list[str], known: np.ndarray, weight: np.ndarray) -> np.ndar
         rank[order] = np.arange(len(known))
         text, term = np.divmod(np.unique(text[at] * len(known) + rank[place[at]]), len(known))
         worst = np.arange(len(text)) - np.searchsorted(text, text) < WORST
-        out += np.bincount(text[worst], weights=weight[order[term[worst]]], minlength=len(texts))
+        out += np.bincount(text[worst], weights=weight[order[term[worst]]], minlength=len(t.sizes))
     return out
 
 
@@ -141,7 +156,7 @@ def _terms_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Each document's terms once, and a null for the document itself."""
     for batch in batches:
         for part in parts_of(batch, "text"):
-            term, text = terms([t or "" for t in part.column("text").to_pylist()])
+            term, text = terms(tokenised([t or "" for t in part.column("text").to_pylist()]))
             order = np.lexsort((term, text))
             term, text = term[order], text[order]
             new = np.r_[True, (term[1:] != term[:-1]) | (text[1:] != text[:-1])][:len(term)]
@@ -167,12 +182,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target, any_target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), False
     for batch in batches:
         for part in parts_of(batch, "text"):
-            rows, sizes = ngrams([t or "" for t in part.column("text").to_pylist()])
-            raw += np.bincount(rows.ravel(), minlength=SIZE)
-            mine = np.repeat(np.array(part.column("role").to_pylist(), dtype=object) == "target", sizes)
+            t = tokenised([t or "" for t in part.column("text").to_pylist()])
+            mine = np.repeat(np.array(part.column("role").to_pylist(), dtype=object) == "target", t.sizes)
+            grams = ngrams(t)
+            raw += np.bincount(np.concatenate(grams), minlength=SIZE)
             if mine.any():
                 any_target = True
-                target += np.bincount(rows[mine].ravel(), minlength=SIZE)
+                target += np.bincount(np.concatenate([g[mine] for g in grams]), minlength=SIZE)
     width = SIZE // SLICES
     out = [(m, i, pack(c[i * width:(i + 1) * width])) for m, c in enumerate((raw, target)) if m == 0 or any_target for i in range(SLICES)]
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["model", "slice", "counts"])
@@ -244,8 +260,8 @@ def rate(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, text_col):
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
-                value, foul = importance(texts, weight), toxicity(texts, known_terms, term_weight)
+                t = tokenised([t or "" for t in part.column(text_col).to_pylist()])
+                value, foul = importance(t, weight), toxicity(t, known_terms, term_weight)
                 passed = [*carry, role, draw]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(value, pa.float64()), pa.array(foul, pa.float64())], [*passed, out[0], out[2]])
 

@@ -182,8 +182,7 @@ def model_rows(texts):
     """Counts of a text's n-grams in a dictionary: (family, n-gram) to number."""
     out = []
     for t in texts:
-        rows, _ = resampling.ngrams([t or ""])
-        out.append(Counter(rows.ravel().tolist()))
+        out.append(Counter(g for kind in resampling.ngrams(resampling.tokenised([t or ""])) for g in kind.tolist()))
     return out
 
 
