@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundline.llm.common import WORD, binary, fields_of, numbered_names, pack, parts_of, quoted, unpack, unused, written
+from groundline.llm.common import binary, fields_of, numbered_names, pack, parts_of, quoted, unpack, unused, written
 
-FIND = re.compile(WORD).findall
 MAX_LABELLED = 20_000
 BITS, SHAPE_BITS = 20, 14
 SIZE = 2 * (1 << BITS) + 2 * (1 << SHAPE_BITS)
@@ -43,13 +42,18 @@ BINS = 1024
 #: The toxic model: terms of the largest log ratios, in so many labelled toxic documents at least; the worst so many of a text count.
 MAX_TERMS, LEAST_TOXIC, TERM_PRIOR, WORST = 1 << 16, 2, 0.5, 2
 FILTER_BITS = 20
+SYMBOL = re.compile(r"[^\w.,'-]|_").findall
+#: Bytes of text that are counted or scored at a time.
+PART = 8 << 20
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def _shape(word: str) -> int:
     """Case, end, symbols and length of a word, below 1 << 10."""
-    symbols = min(3, sum(not (c.isalnum() or c in ".,'-") for c in word))
-    end = 0 if word[-1].isalnum() else 1 if word[-1] in ".,;:!?" else 2
+    symbols = end = 0
+    if not word.isalnum():
+        symbols = min(3, len(SYMBOL(word)))
+        end = 0 if word[-1].isalnum() else 1 if word[-1] in ".,;:!?" else 2
     case = 0 if word[0].islower() else 1 if word[0].isupper() else 2 if word[0].isdigit() else 3
     return ((min(len(word), 31) >> 1) * 4 + symbols) * 12 + end * 4 + case
 
@@ -69,10 +73,11 @@ class Tokens:
 
 
 def tokenised(texts: list[str]) -> Tokens:
-    number: defaultdict[str, int] = defaultdict(count_up().__next__)
-    found = [np.fromiter(map(number.__getitem__, words := FIND(t)), np.int32, len(words)) for t in texts]
+    """Bytes split at ASCII white space and nothing else, which is what words are here."""
+    number: defaultdict[bytes, int] = defaultdict(count_up().__next__)
+    found = [np.fromiter(map(number.__getitem__, words := t.encode("utf-8", "replace").split()), np.int32, len(words)) for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return Tokens(list(number), np.concatenate([np.zeros(0, np.int32), *found]), sizes)
+    return Tokens([w.decode() for w in number], np.concatenate([np.zeros(0, np.int32), *found]), sizes)
 
 
 def ngrams(t: Tokens) -> list[np.ndarray]:
@@ -155,7 +160,7 @@ def toxicity(t: Tokens, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def _terms_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's terms once, and a null for the document itself."""
     for batch in batches:
-        for part in parts_of(batch, "text"):
+        for part in parts_of(batch, "text", PART):
             term, text = terms(tokenised([t or "" for t in part.column("text").to_pylist()]))
             order = np.lexsort((term, text))
             term, text = term[order], text[order]
@@ -181,7 +186,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's rows: by model (0 raw, 1 target) and slice of the n-gram numbers, one packed row each."""
     raw, target, any_target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), False
     for batch in batches:
-        for part in parts_of(batch, "text"):
+        for part in parts_of(batch, "text", PART):
             t = tokenised([t or "" for t in part.column("text").to_pylist()])
             mine = np.repeat(np.array(part.column("role").to_pylist(), dtype=object) == "target", t.sizes)
             grams = ngrams(t)
@@ -259,7 +264,7 @@ def rate(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, text_col):
+            for part in parts_of(batch, text_col, PART):
                 t = tokenised([t or "" for t in part.column(text_col).to_pylist()])
                 value, foul = importance(t, weight), toxicity(t, known_terms, term_weight)
                 passed = [*carry, role, draw]
