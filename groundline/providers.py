@@ -104,6 +104,23 @@ def column(call: Callable[[list[str]], list], kind: str, text: Column, batch: in
     return run(text)
 
 
+def attempted(call: Callable[[list[str]], list], kind: str, text: Column, batch: int) -> Column:
+    """As :func:`column`, but ``struct(value, error)``: the texts of a batch on which the call fails have its message and no value."""
+    @F.pandas_udf(f"value {kind}, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        some, values, errors = texts.tolist(), [], []
+        for i in range(0, len(some), batch):
+            part = some[i:i + batch]
+            try:
+                found = call(part)
+                values, errors = values + list(found), errors + [None] * len(part)
+            except Exception as e:  # noqa: BLE001 - the failure is the batch's result
+                values, errors = values + [None] * len(part), errors + [str(e) or type(e).__name__] * len(part)
+        return pd.DataFrame({"value": values, "error": errors})
+
+    return run(text)
+
+
 def resolved(model: CoreferenceModel, text: Column) -> Column:
     """Text with coreference resolved; a batch on which the model fails stays as it is."""
     def safe(texts: list[str]) -> list[str]:

@@ -1,3 +1,7 @@
+import json
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,32 +95,105 @@ def test_stop_tags(spark):
     assert {r["gen_id"]: (r["text"], r["query"], r["stopped"]) for r in stop_tag.generations(tokens(spark)).collect()} == {g: w for g, (_, w) in STREAMS.items()}
 
 
+def streamed(spark, folder, files, name, n_wanted=0, **options):
+    """Rows of the streaming detector over ``files`` of lines, one a minibatch."""
+    (folder / "in").mkdir()
+    for n, lines in enumerate(files):
+        path = folder / "in" / f"{n:03d}.json"
+        path.write_text("\n".join([*(x if isinstance(x, str) else json.dumps(x) for x in lines), "not json"]))
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = stop_tag.token_lines(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(folder / "in")))
+    writer = stop_tag.detected(stream, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder / "cp"))
+    if not options:
+        assert writer.trigger(availableNow=True).start().awaitTermination(60)
+    else:  # by processing time: runs on until it is stopped
+        query = writer.start()
+        until = time.monotonic() + 60
+        while spark.table(name).count() < n_wanted and time.monotonic() < until and query.exception() is None:
+            time.sleep(0.5)
+        query.stop()
+    return sorted((r["gen_id"], r["text"], r["query"], r["stopped"]) for r in spark.table(name).collect())
+
+
 def test_stop_tag_stream(spark, tmp_path):
     lines = [r.asDict() for r in tokens(spark).collect()]
-    import json
-
-    for n in range(0, len(lines), 2):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{n * 7 % 9:03d}.json").write_text("\n".join([*(json.dumps(x) for x in lines[n:n + 2]), "not json"]))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = stop_tag.token_lines(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(tmp_path / "in")))
-    query = stop_tag.detected(stream).writeStream.format("memory").queryName("stops").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    found = sorted((r["gen_id"], r["text"], r["query"], r["stopped"]) for r in spark.table("stops").collect())
+    files = [lines[n:n + 2] for n in range(0, len(lines), 2)]
+    found = streamed(spark, tmp_path, [files[n * 3 % len(files)] for n in range(len(files))], "stops", 4, wait_ms=600_000)
     assert [f for f in found if f[0] != "d"] == [(g, *w) for g, (_, w) in sorted(STREAMS.items()) if g != "d"] and ("d", "x", "q", True) in found and len(found) == 4
 
 
+def test_a_lost_token_does_not_stop_the_stream(spark, tmp_path):
+    """Number 1 never comes: the batch and the streaming form go on without it, and what follows a finished generation tells nothing."""
+    token = lambda g, n, text, done=False: {"gen_id": g, "seq": n, "response": text, "done": done}
+    files = [[token("a", 0, "one "), token("b", 0, "look <CER"), '{"gen_id": "a", "seq": 1, "resp'], [token("a", 2, "three "), token("b", 2, "CA: it >")], [token("a", 3, "end", True), token("b", 3, " more", True)], [token("a", 9, "late <CERCA: x >")]]
+    want = [("a", "one three end", None, False), ("b", "look", "it", True)]
+    assert streamed(spark, tmp_path, files, "lost") == want
+    rows = spark.createDataFrame([(x["gen_id"], x["seq"], x["response"], x["done"]) for f in files for x in f if not isinstance(x, str)], stop_tag.TOKENS)
+    assert sorted(map(tuple, stop_tag.generations(rows).select("gen_id", "text", "query", "stopped").collect())) == want
+
+
+def test_a_gap_is_given_up_after_its_time(spark, tmp_path):
+    token = lambda n, text, done=False: {"gen_id": "a", "seq": n, "response": text, "done": done}
+    other = [{"gen_id": f"z{i}", "seq": 0, "response": "z", "done": True} for i in range(3)]
+    found = streamed(spark, tmp_path, [[token(0, "one "), token(2, "three", True)], *[[o] for o in other]], "gaps", 4, wait_ms=1, memory_ms=600_000)
+    assert ("a", "one three", None, False) in found and len(found) == 4
+
+
 def test_ingest_stream(spark, tmp_path):
     chunks = spark.createDataFrame([("A -- knows -- B", "f", 0), ("no triple here", "f", 1), ("C -- knows -- A", "g", 0)], "text string, source_file string, chunk_index int")
     chunks.write.parquet(str(tmp_path / "in"))
     store = GraphStore(spark, str(tmp_path / "g"))
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ingest_stream(stream, store, str(tmp_path / "cp"), model=providers.PatternTriples()).awaitTermination(240)
+    ingest_stream(stream, store, str(tmp_path / "cp"), model=providers.PatternTriples()).awaitTermination(60)
     assert sorted((r["name"], r["num_chunks"], r["num_triples"], r["status"]) for r in store.table("documents").collect()) == [("f", 2, 1, "done"), ("g", 1, 1, "done")]
     edges = store.table("edges").collect()
     assert {(r["src_norm"], r["dst_norm"], r["chunk_text"]) for r in edges} == {("a", "b", "A -- knows -- B"), ("c", "a", "C -- knows -- A")} and all(len(r["predicate_embedding"]) == 64 for r in edges)
 
 
+def test_failures_stay_in_their_minibatch(spark, tmp_path):
+    class Fragile:
+        """Fails on a batch that holds a bad text."""
+
+        def beams(self, texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("can't read this")
+            return providers.PatternTriples().beams(texts)
+
+    rows = [(f"A{i} -- knows -- B{i}" if i != 20 else "bad", "f" if i < 16 else "g" if i < 32 else "h", i) for i in range(48)]
+    spark.createDataFrame(rows, "text string, source_file string, chunk_index int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = GraphStore(spark, str(tmp_path / "g"))
+    stream = spark.readStream.schema("text string, source_file string, chunk_index int").parquet(str(tmp_path / "in"))
+    ingest_stream(stream, store, str(tmp_path / "cp"), model=Fragile()).awaitTermination(60)
+    assert sorted((r["name"], r["num_chunks"], r["num_triples"], r["status"]) for r in store.table("documents").collect()) == [("f", 16, 16, "done"), ("g", 16, 0, "error"), ("h", 16, 16, "done")]
+
+
+def test_a_replayed_epoch_is_written_once(spark, tmp_path):
+    """The stream's checkpoint loses its last commit, as after a failure: the epoch comes again and is skipped."""
+    import shutil
+
+    spark.createDataFrame([("A -- knows -- B", "f", 0)], "text string, source_file string, chunk_index int").write.parquet(str(tmp_path / "in"))
+    store = GraphStore(spark, str(tmp_path / "g"))
+    for _ in range(2):
+        stream = spark.readStream.schema("text string, source_file string, chunk_index int").parquet(str(tmp_path / "in"))
+        ingest_stream(stream, store, str(tmp_path / "cp"), model=providers.PatternTriples()).awaitTermination(60)
+        assert store.table("edges").count() == 1 and store.table("documents").first()["num_chunks"] == 1 and store.seen(str(tmp_path / "cp")) == 0
+        shutil.rmtree(tmp_path / "cp" / "commits")
+
+
+def test_an_ingest_of_many_minibatches_writes_little(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "g"))
+    written = []
+    kept = store._write
+    store._write = lambda name, number, df: (written.append((name, df.count())), kept(name, number, df))[1]
+    for i in range(20):
+        store.write_triples(triples(spark, *((f"A{j}", "p", f"B{i}.{j}", "f", i) for j in range(10))))
+    assert store.table("edges").count() == 200 and store.table("entities").count() == 210 and store.stats() == {"nodes": 210, "relations": 200}
+    assert sum(n for name, n in written if name == "edges") == 200 + 160  # each row once, and the first sixteen parts once more
+    assert store.info()["parts"] == {"entities": 5, "edges": 5} and store.is_connected()
+    assert len(list((tmp_path / "g").glob("manifest-*"))) <= 4 and len(list((tmp_path / "g").glob("edges-*"))) <= 5 + 16
+
+
 def test_orchestration(spark):
     script = {
         "Search results:\n[1] (Source: s)\nfacts about cats": "cats are animals [1]", "Search results:\n[1] (Source: s)\nfacts about why": "because [1]", "Search results:\n[1] (Source: s)\nfacts about loop": "again <CERCA: loop>",
