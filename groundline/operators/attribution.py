@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.functions.markup import triples_of
 from groundline.functions.scores import cosine, norm
 from groundline.functions.text import is_question, normalized, slot_facts, slots, strip
+from groundline.providers import Embedder, TripleModel, column
 
 THRESHOLD, TOP_K, POOL = 0.75, 5, 200
 #: The order that settles ties.
@@ -27,12 +29,12 @@ def with_norms(edges: DataFrame) -> DataFrame:
 def exact_matches(claims: DataFrame, edges: DataFrame) -> DataFrame:
     """``(claim_id, hit)`` for claims whose triple stands in the graph: directed, the predicate's case and outer space aside.
 
-    The first edge is found by an aggregate, so matches are reduced before they are shuffled.
+    Of equal edges the first is found by an aggregate before the join, so a hot edge is one row there and a claim meets one at most.
     """
     asked = claims.select("claim_id", normalized(F.col("subject")).alias("src_norm"), normalized(F.col("obj")).alias("dst_norm"), normalized(F.col("predicate")).alias("p"))
-    stored = edges.select("src_norm", "dst_norm", F.lower("predicate").alias("p"), *(F.col(c).alias(f"e_{c}") for c in EVIDENCE))
-    place = F.struct(*(F.col(f"e_{c}" if c in EVIDENCE else c) for c in PLACE))
-    return asked.join(stored, ["src_norm", "dst_norm", "p"]).groupBy("claim_id").agg(F.min_by(F.struct(*(F.col(f"e_{c}").alias(c) for c in EVIDENCE)), place).alias("hit"))
+    hit = F.min_by(F.struct(*EVIDENCE), F.struct(*PLACE)).alias("hit")
+    stored = edges.groupBy("src_norm", "dst_norm", F.lower("predicate").alias("p")).agg(hit)
+    return asked.join(stored, ["src_norm", "dst_norm", "p"]).select("claim_id", "hit")
 
 
 def _scored(asked: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,22 +65,24 @@ def partial_matches(specs: DataFrame, edges: DataFrame, k: int = TOP_K, pool: in
     """
     asked = specs.select("spec_id", normalized(F.col("subject")).alias("qs"), normalized(F.col("obj")).alias("qo"), "predicate_vector")
     s, o = F.col("qs").isNotNull(), F.col("qo").isNotNull()
-    first = Window.partitionBy("spec_id").orderBy(*PLACE)
     narrow = edges.select(*PLACE, "chunk_text", "predicate_embedding", "edge_norm", "src_name", "dst_name")
 
     def joined(rows: DataFrame, on: dict[str, str]) -> DataFrame:
+        """Specs with the first edges of their ends: those are ranked by end before the join, so a spec meets ``pool`` at most."""
+        keys = list(on.values())
         keyed = rows.withColumnsRenamed(on).drop(*({"qs", "qo"} - set(on)))
-        return keyed.join(narrow, list(on.values()))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*PLACE))
+        first = narrow.join(keyed.select(*keys).distinct(), keys, "left_semi").withColumn("_at", place).where(F.col("_at") <= pool)
+        return keyed.join(first, keys)
 
     cases = [(s & o, {"qs": "src_norm", "qo": "dst_norm"}), (s & ~o, {"qs": "src_norm"}), (~s & o, {"qo": "dst_norm"})]
     found = None
     for condition, on in cases:
         part = joined(asked.where(condition), on)
         found = part if found is None else found.unionByName(part)
-    # a spec without ends takes the first edges of the graph: they are the same for all such specs
-    head = narrow.orderBy(*PLACE).limit(pool)
-    found = found.unionByName(asked.where(~s & ~o).drop("qs", "qo").join(F.broadcast(head)))
-    pooled = found.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= pool)
+    # a spec without ends takes the first edges of the graph: they are the same ``pool`` rows for all such specs
+    head = narrow.orderBy(*PLACE).limit(pool).withColumn("_at", F.row_number().over(Window.orderBy(*PLACE)))
+    pooled = found.unionByName(asked.where(~s & ~o).drop("qs", "qo").join(F.broadcast(head)))
     known = F.col("predicate_vector").isNotNull()
     value = F.when(known & F.col("edge_norm").isNotNull(), cosine(F.col("predicate_vector"), F.col("predicate_embedding"), None, F.col("edge_norm"))).when(~known, 0.0)
     scored = pooled.withColumn("similarity", value).where("similarity is not null")
@@ -140,6 +144,23 @@ def attribute_questions(specs: DataFrame, edges: DataFrame, threshold: float = T
     )
 
 
+def first_triples(claims: DataFrame, beams: str = "beams") -> DataFrame:
+    """Claims in words with the ``subject, predicate, obj`` that a model's markup ``beams`` say first: the first triple of the first beam that
+    has one. Without any the three are null, which attribution tells as a parse error."""
+    every = F.flatten(F.transform(F.coalesce(beams, F.array().cast("array<string>")), triples_of))
+    first = F.get(every, F.lit(0))
+    return claims.withColumn("_first", first).withColumns({"subject": F.col("_first.subject"), "predicate": F.col("_first.predicate"), "obj": F.col("_first.object")}).drop("_first", beams)
+
+
+def attribute_texts(texts: DataFrame, edges: DataFrame, model: TripleModel, embedder: Embedder, threshold: float = THRESHOLD) -> DataFrame:
+    """Verdicts on claims in words, ``texts(claim_id, claim)``: the model's first triple, its predicate's vector, then the cascade. Texts that look like
+    questions have a path of their own (see :func:`attribute`) and are left out."""
+    claims = routed(texts).where("not is_question").drop("is_question")
+    read = first_triples(claims.withColumn("beams", column(model.beams, "array<string>", F.col("claim"), 16)))
+    vector = F.when(F.col("predicate").isNotNull(), column(embedder.encode, "array<float>", F.coalesce("predicate", F.lit(""))))
+    return attribute_claims(read.withColumn("predicate_vector", vector), edges, threshold)
+
+
 def routed(texts: DataFrame, text: str = "claim") -> DataFrame:
     """Texts stripped, with ``is_question``."""
     return texts.withColumn(text, strip(F.col(text))).withColumn("is_question", is_question(F.col(text)))

@@ -62,11 +62,25 @@ def overall(runs: DataFrame, scores: DataFrame) -> DataFrame:
     return runs.select("run_id").join(mean, "run_id", "left").select("run_id", F.coalesce("overall_score", F.lit(0.0)).alias("overall_score"), F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
 
 
-def report(results: DataFrame, totals: DataFrame) -> DataFrame:
-    """A JSON report per run: its results in order and the overall score."""
-    fields = [c for c in results.columns if c != "run_id"]
-    rows = results.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("results"))
-    return totals.join(rows, "run_id", "left").select("run_id", F.to_json(F.struct("overall_score", "n_facts", F.coalesce("results", F.array()).alias("results"))).alias("report"))
+def report(facts: DataFrame, evidence: DataFrame, matrix: DataFrame, results: DataFrame, totals: DataFrame) -> DataFrame:
+    """A JSON report per run: its facts, evidence sentences, matrix of scores (a row per fact), results in order and the overall score.
+
+    A run's report is one value, as large as its matrix; each list is gathered once, by run.
+    """
+    def listed(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+        got = rows.select("run_id", F.struct(F.col(order).alias("at"), value.alias("v")).alias("x")).groupBy("run_id").agg(F.array_sort(F.collect_list("x")).alias(name))
+        return got.withColumn(name, F.transform(name, lambda x: x["v"]))
+
+    line = matrix.groupBy("run_id", "fact_idx").agg(F.array_sort(F.collect_list(F.struct("ev_idx", "score"))).alias("cells"))
+    result = F.struct("fact", "support_score", "best_evidence", "best_evidence_source", "rouge_l", "exact_match")
+    parts = {
+        "atomic_facts": listed(facts, "fact_idx", F.col("fact"), "atomic_facts"), "evidence_sentences": listed(evidence, "ev_idx", F.col("sentence"), "evidence_sentences"),
+        "matrix": listed(line, "fact_idx", F.transform("cells", lambda c: c["score"]), "matrix"), "attribution_results": listed(results, "fact_idx", result, "attribution_results"),
+    }
+    joined = totals
+    for part in parts.values():
+        joined = joined.join(part, "run_id", "left")
+    return joined.select("run_id", F.to_json(F.struct(*(F.coalesce(n, F.array()).alias(n) for n in parts), "overall_score")).alias("report"))
 
 
 def accumulated(hits: DataFrame) -> DataFrame:

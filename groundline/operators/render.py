@@ -57,6 +57,7 @@ def responses(results: DataFrame, totals: DataFrame) -> DataFrame:
     legend = " ".join(f"<i style='color:{BORDERS[k]}'>{LABELS[k]}</i>" for k in LABELS)
     body = F.array_join(F.transform(F.coalesce("fs", F.array().cast("array<struct<fact_idx:int,h:string>>")), lambda f: f["h"]), " ")
     head = F.concat(F.lit("<div class='audit'><div>Overall: <strong style='color:"), border(F.col("overall_score")), F.lit("'>"), percent(F.col("overall_score")), F.lit("%</strong></div><p>"))
+    head = F.concat(F.lit(STYLE), head)
     return totals.join(rows, "run_id", "left").select("run_id", F.concat(head, body, F.lit(f"</p><div>{legend}</div></div>")).alias("html"))
 
 
@@ -68,4 +69,4 @@ def heat_maps(facts: DataFrame, evidence: DataFrame, matrix: DataFrame) -> DataF
     head = evidence.select("run_id", F.struct("ev_idx", F.concat(F.lit("<th title='"), escaped(F.col("sentence")), F.lit("'>E"), (F.col("ev_idx") + 1).cast("string"), F.lit("</th>")).alias("h")).alias("e")).groupBy("run_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
     body = line.groupBy("run_id").agg(F.array_sort(F.collect_list("l")).alias("ls")).join(head, "run_id", "left")
     join = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["h"]), ""), F.lit(""))
-    return body.select("run_id", F.concat(F.lit("<table class='heat'><tr><th></th>"), join("es"), F.lit("</tr>"), join("ls"), F.lit("</table>")).alias("html"))
+    return body.select("run_id", F.concat(F.lit(f"{STYLE}<table class='heat'><tr><th></th>"), join("es"), F.lit("</tr>"), join("ls"), F.lit("</table>")).alias("html"))

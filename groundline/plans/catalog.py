@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundline import providers
 from groundline.functions import markup, scores, text
 from groundline.operators import attribution, audit, graph, render, vectors
 from groundline.operators.components import components
 from groundline.plans import prompts
 from groundline.plans.oracles import ORACLE_SQL
 from groundline.sources import files
+from groundline.sources.store import GraphStore
 from groundline.sources.tables import table
 from groundline.streaming import stop_tag
 
@@ -190,6 +192,66 @@ def ingest_totals(spark, d):
     return graph.ingest_totals(each, facts, docs.where("lang = 'fr'"))
 
 
+@query
+def doc_newest(spark, d):
+    """The catalog, newest first, as places: each source was ingested at its own time."""
+    docs = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("num_chunks"), F.min("doc_id").alias("n"))
+    rows = docs.select("name", F.timestamp_seconds(F.pmod(F.col("n") * 7919, F.lit(1000))).alias("ingested_at"), "num_chunks", F.lit(0).cast("long").alias("num_triples"), F.lit("done").alias("status"))
+    return graph.document_list(rows).withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).select("name", "num_chunks", "place")
+
+
+@query
+def entity_scan(spark, d):
+    """Entities of a store that was written in two minibatches and read again, with how many edges begin at each."""
+    store = _stored(spark, d)
+    n = store.table("edges").groupBy(F.col("src_norm").alias("normalized_name")).agg(F.count(F.lit(1)).alias("n"))
+    return store.table("entities").join(n, "normalized_name", "left").select("normalized_name", "name", F.coalesce("n", F.lit(0)).alias("n_edges"))
+
+
+@query
+def ingest_status(spark, d):
+    """Documents of a store after an ingest that was done and one that failed."""
+    store = _stored(spark, d)
+    return store.table("documents").select("name", "num_chunks", "num_triples", "status")
+
+
+@query
+def graph_cleared(spark, d):
+    """Rows of each table after a store was emptied, and before."""
+    store = _stored(spark, d)
+    before = store.stats()
+    store.clear()
+    after = store.stats()
+    return spark.createDataFrame([("before", before["nodes"], before["relations"]), ("after", after["nodes"], after["relations"])], "state string, nodes long, relations long")
+
+
+@query
+def ingest_streamed(spark, d):
+    """Chunks as a stream of minibatches of 16 through the pattern extractor into a store: its edges."""
+    from groundline.sources.scratch import scratch_path, written
+    from groundline.streaming.ingest import ingest_stream
+
+    t = _triples(spark, d).select(F.concat_ws(" -- ", "subject", "predicate", "obj").alias("text"), "source_file", "chunk_index")
+    chunks = written(t, "ingest-chunks")
+    store = GraphStore(spark, scratch_path(spark, "ingest-graph"))
+    stream = spark.readStream.schema(chunks.schema).parquet(chunks.inputFiles()[0].rsplit("/", 1)[0])
+    ingest_stream(stream, store, scratch_path(spark, "ingest-checkpoint"), model=providers.PatternTriples()).awaitTermination(600)
+    return store.table("edges").select("src_norm", "dst_norm", "predicate", "chunk_text", "source_file", "chunk_index")
+
+
+def _stored(spark, d):
+    from groundline.sources.scratch import scratch_path
+
+    store, t = GraphStore(spark, scratch_path(spark, "graph")), _triples(spark, d)
+    store.ingest(t.where("source_file = 'nation'"), "nation", 25)
+    store.ingest(t.where("source_file = 'supplier'"), "supplier", 7)
+    try:
+        store.ingest(t.where("source_file = 'supplier'").withColumn("subject", F.raise_error(F.lit("a model failed")).cast("string")), "customer", 3)
+    except Exception:  # noqa: BLE001, S110 - the store has noted it
+        pass
+    return store
+
+
 @query
 def vector_upsert(spark, d):
     """Half of a collection of chunks comes again, in two versions of which the last counts."""
@@ -219,6 +281,26 @@ def attr_exact(spark, d):
     return attribution.exact_matches(_claims(spark, d), _edges(spark, d)).select("claim_id", "hit.*")
 
 
+def _read_claims(spark, d):
+    """Claims in words as a model reads them: two beams, of which the first may say nothing."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    said = F.concat(F.lit("<triplet> "), "c_name", F.lit(" <subj> "), "n_name", F.lit(" <obj> located in"))
+    beams = F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.array(said, F.lit("<triplet> x <subj> y <obj> z"))).when(F.pmod("c_custkey", F.lit(3)) == 1, F.array(F.lit("nothing"), said)).otherwise(F.array(F.lit("<triplet> cut <subj> short")))
+    return c.select(F.col("c_custkey").alias("claim_id"), F.concat("c_name", F.lit(" lives there")).alias("claim"), beams.alias("beams"), F.lit(None).cast("array<float>").alias("predicate_vector"))
+
+
+@query
+def claim_triples(spark, d):
+    """The first triple of each claim in words."""
+    return attribution.first_triples(_read_claims(spark, d)).drop("predicate_vector")
+
+
+@query
+def claim_verdicts(spark, d):
+    """Claims in words down to their verdict: those without a triple are parse errors."""
+    return attribution.attribute_claims(attribution.first_triples(_read_claims(spark, d)), _edges(spark, d))
+
+
 @query
 def attr_semantic(spark, d):
     return attribution.semantic_matches(_claims(spark, d), _edges(spark, d)).withColumn("similarity", r6("similarity"))
@@ -287,7 +369,7 @@ def attr_mixed(spark, d):
     claims = _claims(spark, d).withColumn("is_question", F.lit(False))
     asked = table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("claim_id"), F.concat(F.lit("Where is "), "s_name", F.lit("?")).alias("claim"), F.col("s_name").alias("subject"), F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("obj"), F.lit(None).cast("array<float>").alias("predicate_vector"))
     both = claims.unionByName(attribution.routed(asked))
-    return attribution.attribute(both, _named_edges(spark, d)).groupBy("is_question", "match_type", "verified", "answer_field").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("similarity")).alias("similarity"))
+    return attribution.attribute(both, _named_edges(spark, d)).groupBy("is_question", "match_type", "verified", "answer_field").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(r6("similarity"))).alias("similarity"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -304,6 +386,15 @@ def knn_topk(spark, d):
     return vectors.nearest(q, e.select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector"))).withColumn("distance", r6("distance"))
 
 
+@query
+def token_similarity(spark, d):
+    """Greedy token similarity of embeddings taken four at a time, each against the next four."""
+    e = table(spark, d, "embeddings").select(F.expr("vec_id div 4").alias("g"), "vec_id", "embedding").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
+    e = e.select("g", F.transform("t", lambda x: x["embedding"]).alias("tokens"))
+    both = e.join(e.select((F.col("g") - 1).alias("g"), F.col("tokens").alias("other")), "g")
+    return both.select("g", scores.greedy_similarity(F.col("tokens"), F.col("other")).alias("s")).select("g", *(r6(f"s.{c}").alias(c) for c in ("precision", "recall", "f1")))
+
+
 @query
 def hybrid_rerank(spark, d):
     e = table(spark, d, "embeddings").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"))
@@ -403,7 +494,22 @@ def support_overall(spark, d):
 def support_report(spark, d):
     runs, facts, evidence = _runs(spark, d)
     matrix = audit.cells(facts, evidence)
-    return audit.report(audit.best_evidence(facts, evidence, matrix), audit.overall(runs, audit.fact_scores(facts, matrix)))
+    return audit.report(facts, evidence, matrix, audit.best_evidence(facts, evidence, matrix), audit.overall(runs, audit.fact_scores(facts, matrix)))
+
+
+@query
+def support_lists(spark, d):
+    """What the report of the unstemmed matrix holds, read back from its JSON: facts, sentences, numbers of cells, results and the largest score."""
+    runs, facts, evidence = _runs(spark, d)
+    matrix = audit.cells(facts, evidence, stemmed=False).withColumns({c: r6(c) for c in ("rouge_l", "score")})
+    told = audit.report(facts, evidence, matrix, audit.best_evidence(facts, evidence, matrix), audit.overall(runs, audit.fact_scores(facts, matrix)))
+    shape = "atomic_facts array<string>, evidence_sentences array<string>, matrix array<array<double>>, attribution_results array<struct<fact:string,support_score:double>>, overall_score double"
+    r = told.select("run_id", F.from_json("report", shape).alias("r"))
+    cells = F.flatten("r.matrix")
+    return r.select(
+        "run_id", F.array_join("r.atomic_facts", "|").alias("facts"), F.array_join("r.evidence_sentences", "|").alias("sentences"), F.size(cells).alias("n_cells"), F.coalesce(F.array_max(cells), F.lit(0.0)).alias("largest"),
+        F.array_join(F.transform("r.attribution_results", lambda x: x["fact"]), "|").alias("result_facts"), F.round("r.overall_score", 5).alias("overall_score"),
+    )
 
 
 @query

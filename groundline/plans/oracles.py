@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from groundline.plans import prompts
+
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
@@ -229,3 +231,49 @@ ORACLE_SQL: dict[str, str] = {
                contains(s, '<CERCA:') AND contains(substr(s, strpos(s, '<CERCA:') + 7), '>') AS stopped FROM g
     """,
 }
+
+
+#: Characters of the first prompt beside its question.
+INITIAL = len(f"{prompts.BEGIN}{prompts.TURN}system{prompts.TURN_END}{prompts.SYSTEM}{prompts.CLOSE}{prompts.TURN}user{prompts.TURN_END}{prompts.CLOSE}{prompts.TURN}assistant{prompts.TURN_END}")
+QUOTED = prompts.QUESTION.replace("'", "''")
+READ = "SELECT c_custkey, c_custkey % 3 k, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+ORACLE_SQL |= {
+    "question_prompts": f"SELECT conv_id, turn, '{QUOTED}' || replace(text, '\"', '''') || '\"' || chr(10) || 'JSON:' AS prompt, CAST({INITIAL} + length(text) AS INT) AS n_initial FROM conversations WHERE role = 'user'",
+    "attr_mixed": f"""
+        SELECT is_question, match_type, verified, answer_field, count(*) AS n, round(sum(similarity), 6) AS similarity FROM ({ORACLE_SQL["attr_cascade"]}) GROUP BY ALL
+        UNION ALL SELECT true, 'semantic', true, '', count(*), CAST(count(*) AS DOUBLE) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    """,
+    "claim_triples": f"SELECT c_custkey AS claim_id, c_name || ' lives there' AS claim, CASE WHEN k < 2 THEN c_name END AS subject, CASE WHEN k < 2 THEN 'located in' END AS predicate, CASE WHEN k < 2 THEN n_name END AS obj FROM ({READ})",
+    "claim_verdicts": f"""
+        SELECT c_custkey AS claim_id, c_name || ' lives there' AS claim, CASE WHEN k < 2 THEN c_name ELSE '' END AS subject, CASE WHEN k < 2 THEN 'located in' ELSE '' END AS predicate, CASE WHEN k < 2 THEN n_name ELSE '' END AS obj,
+               ['exact', 'not_found', 'parse_error'][CAST(k + 1 AS INT)] AS match_type, CASE k WHEN 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS similarity, CASE k WHEN 0 THEN c_name || ' located in ' || n_name ELSE '' END AS source_chunk,
+               CASE k WHEN 0 THEN 'customer' ELSE '' END AS source_file, CAST(CASE k WHEN 0 THEN c_custkey ELSE 0 END AS INT) AS chunk_index, k = 0 AS verified, false AS is_question, '' AS answer_field FROM ({READ})
+    """,
+    "doc_newest": "SELECT name, num_chunks, CAST(row_number() OVER (ORDER BY n * 7919 % 1000 DESC, name) AS INT) AS place FROM (SELECT source AS name, count(*) AS num_chunks, min(doc_id) n FROM documents GROUP BY 1)",
+    "entity_scan": """
+        SELECT lower(name) AS normalized_name, name, n AS n_edges FROM (SELECT n_name AS name, 1::BIGINT n FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION SELECT s_name, 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT r_name, 0 FROM region JOIN nation ON n_regionkey = r_regionkey)
+    """,
+    "ingest_status": """
+        SELECT 'nation' AS name, 25::BIGINT AS num_chunks, count(*) AS num_triples, 'done' AS status FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'supplier', 7, count(*), 'done' FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'customer', 3, 0, 'error'
+    """,
+    "graph_cleared": f"""
+        WITH {TRIPLES} SELECT 'before' AS state, (SELECT count(*) FROM (SELECT sn FROM e WHERE f <> 'customer' UNION SELECT dn FROM e WHERE f <> 'customer')) AS nodes, (SELECT count(*) FROM e WHERE f <> 'customer') AS relations
+        UNION ALL SELECT 'after', 0, 0
+    """,
+    "ingest_streamed": f"WITH {TRIPLES} SELECT sn AS src_norm, dn AS dst_norm, p AS predicate, s || ' -- ' || p || ' -- ' || o AS chunk_text, f AS source_file, i AS chunk_index FROM e",
+    "token_similarity": """
+        WITH n AS (SELECT vec_id, vec_id // 4 AS g, CAST(embedding AS DOUBLE[]) v FROM embeddings),
+        m AS (SELECT a.g, a.vec_id x, b.vec_id y, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) s FROM n a JOIN n b ON b.g = a.g + 1),
+        p AS (SELECT g, avg(s) p FROM (SELECT g, x, max(s) s FROM m GROUP BY 1, 2) GROUP BY 1), r AS (SELECT g, avg(s) r FROM (SELECT g, y, max(s) s FROM m GROUP BY 1, 2) GROUP BY 1)
+        SELECT g, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM p JOIN r USING (g)
+    """,
+    "support_lists": f"""
+        WITH {RUNS}, c AS (SELECT run_id, fact_idx, round(greatest(rl, em), 6) s FROM cells), top AS (SELECT f.run_id, f.fact_idx, coalesce(max(s), 0.0) s FROM facts f LEFT JOIN c USING (run_id, fact_idx) GROUP BY 1, 2),
+        fs AS (SELECT run_id, string_agg(fact, '|' ORDER BY fact_idx) x FROM facts GROUP BY 1), es AS (SELECT run_id, string_agg(sentence, '|' ORDER BY ev_idx) x FROM evidence GROUP BY 1)
+        SELECT run_id, coalesce(fs.x, '') AS facts, coalesce(es.x, '') AS sentences, CAST(coalesce(n, 0) AS INT) AS n_cells, coalesce(largest, 0.0) AS largest, coalesce(fs.x, '') AS result_facts, round(coalesce(mean, 0.0), 5) AS overall_score
+        FROM runs LEFT JOIN fs USING (run_id) LEFT JOIN es USING (run_id) LEFT JOIN (SELECT run_id, count(*) n, max(s) largest FROM c GROUP BY 1) USING (run_id) LEFT JOIN (SELECT run_id, avg(s) mean FROM top GROUP BY 1) USING (run_id)
+    """,
+}
