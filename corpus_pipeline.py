@@ -41,7 +41,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again.
+
+    Null and empty texts: the classifier puts them after all others, so they go once any label names a good document; without labels they reach
+    the mix, which takes nothing of them. A null id or source is a value like others. Rows equal in id and text are copies, of which the second
+    stage keeps one. Empty tables give an empty result with the same columns. Other columns of ``documents`` stay, whatever their names. The
+    result is lazy: ``groundline.sources.scratch.clear`` deletes the stages' tables once it has been written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
