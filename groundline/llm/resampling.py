@@ -44,7 +44,7 @@ MAX_TERMS, LEAST_TOXIC, TERM_PRIOR, WORST = 1 << 16, 2, 0.5, 2
 FILTER_BITS = 20
 SYMBOL = re.compile(r"[^\w.,'-]|_").findall
 #: Bytes of text that are counted or scored at a time.
-PART = 8 << 20
+PART = 2 << 20
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 
