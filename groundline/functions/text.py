@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Every character that counts as white space in Unicode text, for Java's regular expressions.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: The same characters, one after another.
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Question starters, each followed by a blank.
 QUESTION_STARTERS = (
     "chi", "cosa", "che cosa", "che", "quale", "quali", "quando", "dove", "come", "perché", "perche", "quanto",
@@ -22,7 +25,7 @@ MISSING = ("none", "nan", "null", "")
 
 def strip(text: Column) -> Column:
     """``text`` without white space at its ends; Spark's own trim knows blanks only."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:

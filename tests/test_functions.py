@@ -58,6 +58,12 @@ def test_white_space_is_unicode(spark):
     assert one(spark, text.strip(F.col("t")), odd) == odd.strip()
 
 
+def test_spaces_are_those_of_the_pattern(spark):
+    every = "".join(chr(i) for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000)
+    assert set(one(spark, F.regexp_replace("t", f"[^{text.SPACE[1:-1]}]", ""), every)) == set(text.SPACES) == {c for c in every if c.isspace()}
+    assert one(spark, text.strip(F.col("t")), text.SPACES + "é x" + text.SPACES) == "é x" and one(spark, text.strip(F.col("t")), text.SPACES) == ""
+
+
 def test_sentences_and_facts(spark):
     two = one(spark, text.sentences(F.col("t")), "This is the first sentence. This is the second sentence.")
     assert len(two) == 2 and "first" in two[0]
