@@ -4,9 +4,9 @@
    of one set alone can't be shared, so documents with too few shared shingles have no partner and are done.
 2. The others are nodes, one for each different set. Under the order of rising frequency, sets that reach the threshold share
    a shingle among their first few (prefix filter); nodes joined by such shingles form candidate groups.
-3. In a group, documents are searched by T-occurrence (DivideSkip): a query's short inverted lists are merged and counted, its
-   long ones are only probed by binary search for documents that may still reach the overlap ``T``, and the exact test on set
-   sizes follows. Small groups share a task. A large group is dealt in the cheaper of two ways: by its shingles, each node once
+3. In a group, documents are searched by T-occurrence (DivideSkip): a query's short inverted lists are merged by a heap of their
+   heads, which skips what too few of them hold, its long ones are only probed by binary search for documents that may still
+   reach the overlap ``T``, and the exact test on set sizes follows. Small groups share a task. A large group is dealt in the cheaper of two ways: by its shingles, each node once
    with every task that has one of its first few (groups that boilerplate chains together), or as blocks whose pairs are tasks
    (copies, which share all their shingles). A task of too many nodes is pairs of blocks too, so none holds more than two
    blocks. It returns links folded to one edge a document, and numbers of links, never its pairs; a pair that meets in several
@@ -16,7 +16,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 from itertools import count as count_up
 
 import numpy as np
@@ -161,15 +163,44 @@ def sets_of(docs: pa.Table, told: pa.Table, width: int, n_buckets: int, num: int
     ], ["doc_id", "row", "n_shingles", "node", "shared", "prefix"])
 
 
-def merge_lists(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The values of sorted lists, ascending, and how many lists have each.
+def merge_skip(lists: list[list[int]], least: int) -> tuple[list[int], list[int]]:
+    """The values that at least ``least`` of some ascending lists hold, ascending, and how many lists have each.
 
-    One merging sort: it finds the lists as ascending runs and merges them two at a time by its stack of run lengths, which stands
-    for the heap of list heads.
+    A heap holds the head of every list, a number of value and list in one. Where too few lists have the least value, the heads of
+    ``least - 1`` lists are taken off, and these lists go on by binary search at the value that is on top then: no value before it
+    can be in enough lists.
     """
-    merged = np.sort(np.concatenate(lists), kind="stable") if lists else np.zeros(0, np.int64)
-    first = runs(merged)
-    return merged[first], np.diff(np.r_[first, len(merged)])
+    n = len(lists)
+    found: list[int] = []
+    counts: list[int] = []
+    if n < least:
+        return found, counts
+    ends, at = [len(x) for x in lists], [0] * n
+    heap = [x[0] * n + k for k, x in enumerate(lists) if x]
+    heapify(heap)
+    while len(heap) >= least:
+        value = heap[0] // n
+        end, taken = (value + 1) * n, []
+        while heap and heap[0] < end:
+            taken.append(heappop(heap) - value * n)
+        if len(taken) >= least:
+            found.append(value)
+            counts.append(len(taken))
+            for k in taken:
+                at[k] += 1
+                if at[k] < ends[k]:
+                    heappush(heap, lists[k][at[k]] * n + k)
+            continue
+        while len(taken) < least - 1 and heap:
+            taken.append(heappop(heap) % n)
+        if not heap:  # the lists left are too few
+            break
+        goal = heap[0] // n
+        for k in taken:
+            at[k] = bisect_left(lists[k], goal, at[k])
+            if at[k] < ends[k]:
+                heappush(heap, lists[k][at[k]] * n + k)
+    return found, counts
 
 
 class Lists:
@@ -194,7 +225,8 @@ class Lists:
         at = at[np.argsort(length, kind="stable")]
         n_long = min(least - 1, max(0, int(least / (MU * np.log2(length.max() + 1) + 1))))
         short, long = at[:len(at) - n_long], at[len(at) - n_long:]
-        found, count = merge_lists([self.postings[self.begin[t]:self.end[t]] for t in short])
+        merged = merge_skip([self.postings[self.begin[t]:self.end[t]].tolist() for t in short], least - len(long))
+        found, count = np.array(merged[0], np.int64), np.array(merged[1], np.int64)
         need = -(-num * (size + self.sizes[found]) // (num + den))
         for k, t in enumerate(long):
             alive = count + (len(long) - k) >= need

@@ -88,14 +88,11 @@ def test_blocks_of_fewer_words_than_a_shingle(texts, width):
     assert sizes.tolist() == [1] * len(texts) and len(set(hashes.tolist())) == len(texts)
 
 
-def test_merging_sorted_lists():
-    import heapq
-
-    import numpy as np
-
+def test_heap_merge_of_sorted_lists():
     rng = random.Random(6)
-    for _ in range(50):
-        lists = [np.array(sorted(rng.sample(range(200), rng.randint(0, 60)))) for _ in range(rng.randint(1, 12))]
-        want = list(heapq.merge(*(x.tolist() for x in lists)))
-        values, counts = jaccard.merge_lists(lists)
-        assert values.tolist() == sorted(set(want)) and counts.tolist() == [want.count(v) for v in sorted(set(want))]
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(rng.choice((20, 200))), rng.randint(0, 20))) for _ in range(rng.randint(0, 12))]
+        least = rng.randint(1, 13)
+        held = {v: sum(v in x for x in lists) for x in lists for v in x}
+        want = sorted(v for v, n in held.items() if n >= least)
+        assert jaccard.merge_skip(lists, least) == (want, [held[v] for v in want])
