@@ -28,6 +28,8 @@ from groundline.llm.common import binary, block_of, by_bucket, dealt_tasks, pack
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
+#: Bytes whose windows are hashed at once. Blocks are smaller, so only a long text is hashed in several goes.
+AT_ONCE = 4 << 20
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 LAST_ID = np.iinfo(np.int64).max
 
@@ -50,16 +52,26 @@ class Stretches:
     name: np.ndarray
 
 
-def stretches(texts: list[bytes]) -> Stretches:
+def stretches(texts: list[bytes], at_once: int = AT_ONCE) -> Stretches:
+    """Stretches of texts, found ``at_once`` bytes at a time: the hashes of a long text are never held together. A stretch over the border
+    of two such parts is two stretches, whose windows are the same."""
     data = np.frombuffer(b"".join(texts) + b"\0" * (LENGTH + 8), np.uint8)
     n = len(data) - LENGTH - 8
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
+    # windows inside one text begin in these ranges
+    low, high = (ends - sizes)[sizes >= LENGTH], (ends - LENGTH + 1)[sizes >= LENGTH]
+    parts = [_stretches_of(data, at, min(at + at_once, n - LENGTH + 1), low, high) for at in range(0, n - LENGTH + 1, at_once)]
     none = np.zeros(0, np.int64)
-    if n < LENGTH:
-        return Stretches(data, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    grams = n - GRAM + 1
+    begin, windows, file, name = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.int64, np.int64, np.uint64, np.uint64), zip(*parts, strict=True) if parts else [[none]] * 4, strict=True))
+    return Stretches(data, begin, windows, np.searchsorted(ends, begin, side="right"), file.astype(np.uint64), name.astype(np.uint64))
+
+
+def _stretches_of(data: np.ndarray, first: int, end: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where stretches of the windows that begin from ``first`` to ``end`` begin, how many windows they have, their files and names."""
+    grams = end - first + REACH - 1
+    part = data[first:first + grams + GRAM]
+    eight = np.ndarray((grams + 8,), "<u8", part, 0, (1,))
     h = _mixed(eight[:grams] * A ^ (eight[8:grams + 8] + C) * B)
     least, span = h, 1
     while span * 2 <= REACH:
@@ -69,12 +81,11 @@ def stretches(texts: list[bytes]) -> Stretches:
         least = np.minimum(least[:len(least) - (REACH - span)], least[REACH - span:])
     # windows inside one text, and where they change their file or text
     use = np.zeros(len(least) + 1, np.int32)
-    whole = sizes >= LENGTH
-    np.add.at(use, (ends - sizes)[whole], 1)
-    np.add.at(use, ends[whole] - LENGTH + 1, -1)
+    np.add.at(use, np.clip(low - first, 0, len(least)), 1)
+    np.add.at(use, np.clip(high - first, 0, len(least)), -1)
     at = np.flatnonzero(np.cumsum(use[:-1]) > 0)
     value = least[at]
-    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)])
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else at
     count = np.diff(np.r_[new, len(at)])
     # runs over REACH windows, in texts that repeat themselves, are cut
     cuts = -(-count // REACH)
@@ -88,8 +99,7 @@ def stretches(texts: list[bytes]) -> Stretches:
             out = _mixed(out * A ^ h[p + k])
         return out
 
-    name = _mixed(hashed(begin) * A ^ hashed(last) + windows.astype(np.uint64))
-    return Stretches(data, begin, windows, np.searchsorted(ends, begin, side="right"), value[start], name)
+    return begin + first, windows, value[start], _mixed(hashed(begin) * A ^ hashed(last) + windows.astype(np.uint64))
 
 
 def _bytes_of(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
@@ -280,10 +290,10 @@ def cut_out(docs: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
     least = np.empty(len(by_name), np.int64)
     least[by_name] = np.repeat(ids[s.text[by_name[at]]], np.diff(np.r_[at, len(by_name)]))
     own = np.flatnonzero(least < ids[s.text])
-    step = np.zeros(sum(map(len, texts)) + 1, np.int64)
+    step = np.zeros(sum(map(len, texts)) + 1, np.int32)
     np.add.at(step, np.r_[s.begin[which] + firsts[part], s.begin[own]], 1)
     np.add.at(step, np.r_[s.begin[which] + ends[part].astype(np.int64), s.begin[own] + s.windows[own]] + LENGTH - 1, -1)
-    gone = np.cumsum(step[:-1]) > 0
+    gone = np.cumsum(step[:-1], out=step[:-1]) > 0
     rows, begin = [], 0
     for i, t in zip(docs.column("doc_id").to_pylist(), texts, strict=True):
         mask = gone[begin:begin + len(t)]

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundline.llm import repeats
@@ -51,6 +52,21 @@ def test_against_brute_force(spark, seed):
     assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] == r["n_bytes"] - sum(r["span_ends"]) + sum(r["span_starts"]) for r in rows)
 
 
+def test_texts_hashed_in_parts(spark, monkeypatch):
+    docs = [*corpus(3), (2000, "".join(t for _, t in corpus(4))), (2001, "-".join(t for _, t in corpus(4)))]
+    whole = repeats.stretches([t.encode() for _, t in docs])
+    parts = repeats.stretches([t.encode() for _, t in docs], 777)
+    at = lambda s: sorted((b + k, t, f) for b, n, t, f in zip(s.begin.tolist(), s.windows.tolist(), s.text.tolist(), s.file.tolist()) for k in range(n))
+    assert at(whole) == at(parts) and len(parts.begin) > len(whole.begin)
+    monkeypatch.setattr(repeats.stretches, "__defaults__", (777,))
+    table = {"doc_id": [i for i, _ in docs], "text": [t for _, t in docs], "block": [0] * len(docs)}
+    docs_of = pa.table(table, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("block", pa.int32())]))
+    told = repeats.answer_files(repeats.ask_files(docs_of, 1))
+    cut = repeats.cut_out(docs_of, repeats.answer_stretches(repeats.send_stretches(docs_of, told, 1, 1)), False).to_pydict()
+    found = sorted(zip(cut["doc_id"], cut["n_bytes"], cut["n_removed"], cut["n_spans"], cut["kept_sha256"]), key=str)
+    assert found == brute(docs)
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
