@@ -13,8 +13,9 @@ Word counts for the base score go the same way. So what a task holds depends on
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count as count_up
 
 import numpy as np
@@ -27,8 +28,11 @@ from groundline.llm.common import binary, block_of, by_bucket, dealt_tasks, pack
 
 ORDER = 5
 CHUNK = 1 << 18
+#: Keys that wait for their counts to be added up; a block of short texts has fewer.
+PENDING = 4 << 20
 #: Stands for the end of a text among words, which are what bytes split into at ASCII white space; no word contains a line feed.
 END = b"\n"
+BLANK = re.compile(rb"[ \t\n\v\f\r]")
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,12 +41,11 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text and a zero byte at its end: the ``ORDER`` bytes before it and itself, as one number; and
-    where each text's grams begin. Before a text stand zero bytes."""
-    pad = b"\0" * ORDER
-    data = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8).astype(np.int64)
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+def grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each piece after its first ``ORDER``: the ``ORDER`` bytes before it and itself, as one number; and where each
+    piece's grams begin."""
+    data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+    lengths = np.fromiter((len(t) - ORDER for t in pieces), np.int64, len(pieces))
     n = len(data) - ORDER
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -50,22 +53,38 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(ORDER + 1):
         whole = (whole << 8) | data[j:n + j]
     keep = np.ones(n, bool)
-    first = np.cumsum(lengths + ORDER)[:-1] - ORDER  # grams that end in a text's padding
+    first = np.cumsum(lengths + ORDER)[:-1] - ORDER  # grams that end in the first bytes of a piece
     for j in range(ORDER):
         keep[first + j] = False
     return whole[keep], np.cumsum(lengths) - lengths
 
 
-def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t)
+def padded(texts: Iterable[bytes], size: int = CHUNK) -> Iterator[tuple[int, bytes]]:
+    """Texts with ``ORDER`` zero bytes before and one after them, and their numbers; a long one in pieces of ``size`` bytes, each
+    with the ``ORDER`` bytes before it."""
+    for i, t in enumerate(texts):
+        if len(t) <= size:
+            yield i, b"\0" * ORDER + t + b"\0"
+            continue
+        for at in range(0, len(t), size):
+            before = b"\0" * ORDER + t[max(0, at - ORDER):at]
+            yield i, before[-ORDER:] + t[at:at + size] + (b"\0" if at + size >= len(t) else b"")
+
+
+def chunks(texts: Iterable[bytes], size: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The pieces of texts, and the texts they are of, about ``size`` bytes at a time."""
+    of: list[int] = []
+    some: list[bytes] = []
+    n = 0
+    for i, piece in padded(texts, size):
+        of.append(i)
+        some.append(piece)
+        n += len(piece)
         if n >= size:
-            yield some
-            some, n = [], 0
+            yield of, some
+            of, some, n = [], [], 0
     if some:
-        yield some
+        yield of, some
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +98,60 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def gram_counts(texts: list[bytes], weight: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [], []
-    for some in chunks(texts):
+class Sums:
+    """Counts by key, added up whenever ``PENDING`` keys more wait than are held, so that those of a long text don't pile up."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        if sum(map(len, self.keys[1:])) > PENDING + len(self.keys[0]):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = summed(self.keys, self.counts)
+        self.keys, self.counts = [keys], [counts]
+        return keys, counts
+
+
+def count_grams(into: Sums, texts: list[bytes], weight: int) -> None:
+    for _, some in chunks(texts):
         k, c = np.unique(grams(some)[0], return_counts=True)
-        keys.append(k)
-        counts.append(c * weight)
-    return summed(keys, counts)
+        into.add(k, c * weight)
+
+
+def gram_counts(texts: list[bytes], weight: int) -> tuple[np.ndarray, np.ndarray]:
+    sums = Sums()
+    count_grams(sums, texts, weight)
+    return sums.total()
+
+
+def cut(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """A text in parts of ``size`` bytes or little more, cut at white space, so that no word is cut; an empty text is one part."""
+    at = 0
+    while len(text) - at > size:
+        blank = BLANK.search(text, at + size)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+    if at < len(text) or not text:
+        yield text[at:]
+
+
+def word_lists(texts: list[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
+    """All words of texts, those of about ``size`` bytes at a time."""
+    some, n = [], 0
+    for part in (p for t in texts for p in cut(t, size)):
+        some.append(part)
+        n += len(part)
+        if n >= size:
+            yield b"\n".join(some).split()
+            some, n = [], 0
+    if some:
+        yield b"\n".join(some).split()
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -169,7 +235,7 @@ def short_table(docs: DataFrame) -> Short:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts = [], []
-            for some in chunks([lowered(t) for t in batch.column("text").to_pylist()]):
+            for _, some in chunks([lowered(t) for t in batch.column("text").to_pylist()]):
                 k, c = np.unique((grams(some)[0] & 0xFFFFFF).astype(np.int32), return_counts=True)
                 keys.append(k)
                 counts.append(c)
@@ -191,12 +257,17 @@ def asks(table: pa.Table, n_grams: int, n_words: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     texts, held = [lowered(t) for t in table.column("text").to_pylist()], table.column("held_out").to_pylist()
     train, rest = [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h]
-    k, c = summed(*map(list, zip(gram_counts(train, 1), gram_counts(rest, 0), strict=True)))
+    sums = Sums()
+    count_grams(sums, train, 1)
+    count_grams(sums, rest, 0)
+    k, c = sums.total()
     bucket = gram_bucket(k, n_grams)
-    words = Counter(w for some in chunks(train) for w in b"\n".join(some).split())
+    words: Counter[bytes] = Counter()
+    for found in word_lists(train):
+        words.update(found)
     words[END] += len(train)
-    for some in chunks(rest):
-        words.update(dict.fromkeys(b"\n".join(some).split(), 0))
+    for found in word_lists(rest):
+        words.update(dict.fromkeys(found, 0))
     wk, wc = summed([word_keys(list(words))], [np.fromiter(words.values(), np.int64, len(words))])
     rows = []
     for key, count, of, shift in ((k, c, bucket, 0), (wk, wc, (wk % np.uint64(n_words)).astype(np.int64), n_grams)):
@@ -226,23 +297,26 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
     texts = [lowered(t) for t in docs.column("text").to_pylist()]
     held = docs.column("held_out").to_pylist()
     answered = {b: (v, told.column("values")[i].as_py()) for i, (b, v) in enumerate(zip(told.column("bucket").to_pylist(), told.column("distinct").to_pylist(), strict=True))}
-    asked, starts, keys = [], [], []
-    for some in chunks(texts):  # each chunk's distinct grams, and for each of its bytes which one it is
+    asked, starts, keys, pieces_of, every = [], [], [], [], Sums()
+    for of, some in chunks(texts):  # each chunk's distinct grams, and for each of its bytes which one it is
         g, begin = grams(some)
         order = np.argsort(g)
         at = runs(g[order])
         place = np.empty(len(g), np.int32)
         place[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(g)]))
         keys.append(g[order][at])
+        every.add(keys[-1], np.zeros(len(at), np.int8))
         asked.append(place)
         starts.append(begin)
-    k = np.unique(np.concatenate(keys))
+        pieces_of.append(of)
+    k = every.total()[0]
+    del every
     value = np.empty(len(k))
     for b, own in by_bucket(gram_bucket(k, n_grams)):
         value[own] = unpack(answered[b][1], "f4")
     number: defaultdict[bytes, int] = defaultdict(count_up().__next__)
     end = number[END]
-    tokens = [np.fromiter(map(number.__getitem__, found := t.split()), np.int32, len(found)) for t in texts]
+    tokens = [np.concatenate([np.fromiter(map(number.__getitem__, found := part.split()), np.int32, len(found)) for part in cut(t)]) for t in texts]
     wk = word_keys(list(number))
     uniq, back = np.unique(wk, return_inverse=True)
     count = np.empty(len(uniq), np.int64)
@@ -250,7 +324,9 @@ def scores(docs: pa.Table, told: pa.Table, n_grams: int, n_words: int) -> pa.Tab
         count[own] = unpack(answered[n_grams + b][1], "i8")
     c_of = count[back]
     log_of, known = np.log10(c_of + 1.0), c_of > 0
-    score = [x for own, place, begin in zip(keys, asked, starts, strict=True) for x in np.add.reduceat(value[np.searchsorted(k, own)][place], begin).tolist()]
+    score = np.zeros(len(texts))
+    for own, place, begin, of in zip(keys, asked, starts, pieces_of, strict=True):
+        np.add.at(score, of, np.add.reduceat(value[np.searchsorted(k, own)][place], begin))
     n_tokens = [len(t) + 1 for t in tokens]
     n_known = [int(known[t].sum() + known[end]) for t in tokens]
     logs = [float(log_of[t].sum() + log_of[end]) for t in tokens]

@@ -67,7 +67,7 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     texts = [bytes(rng.choice(list(b"abcd "), 200).tolist()) for _ in range(5)]
     k, c = ppm.gram_counts(texts, 1)
-    k3, c3 = np.unique(np.concatenate([ppm.grams(texts)[0] & 0xFFFFFF]), return_counts=True)
+    k3, c3 = np.unique(np.concatenate([ppm.grams([p for _, p in ppm.padded(texts)])[0] & 0xFFFFFF]), return_counts=True)
     for context in (b"abcda", b"zzabc", b"zzzzz"):
         head = int.from_bytes(context, "big") << 8
         ask = np.arange(head, head + 256)
@@ -76,6 +76,17 @@ def test_probabilities_sum_to_one():
         assert (10 ** logs[np.searchsorted(keys, ask)]).sum() == pytest.approx(1)
 
 
+def test_long_texts_in_pieces():
+    rng = np.random.default_rng(5)
+    texts = [b"", b"short one", b"x" * 700, bytes(rng.choice(list(b"abc \n\t"), 3000).tolist()), b" ", bytes(rng.choice(list(b"abcdefgh "), 1000).tolist())]
+    for size in (1, 7, 100, 1000):
+        parts = [(i, g) for of, some in ppm.chunks(texts, size) for g, begin in [ppm.grams(some)] for i, g in zip(of, np.split(g, begin[1:]), strict=True)]
+        for i, t in enumerate(texts):
+            assert np.concatenate([g for j, g in parts if j == i]).tolist() == ppm.grams([b"\0" * ppm.ORDER + t + b"\0"])[0].tolist()
+            assert b"".join(ppm.cut(t, size)) == t and [w for p in ppm.cut(t, size) for w in p.split()] == t.split()
+        assert sorted(w for found in ppm.word_lists(texts, size) for w in found) == sorted(w for t in texts for w in t.split())
+
+
 def test_empty_table(spark):
     assert ppm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
