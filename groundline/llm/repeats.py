@@ -81,8 +81,8 @@ def _stretches_of(data: np.ndarray, first: int, end: int, low: np.ndarray, high:
         least = np.minimum(least[:len(least) - (REACH - span)], least[REACH - span:])
     # windows inside one text, and where they change their file or text
     use = np.zeros(len(least) + 1, np.int32)
-    np.add.at(use, np.clip(low - first, 0, len(least)), 1)
-    np.add.at(use, np.clip(high - first, 0, len(least)), -1)
+    np.add.at(use, np.clip(low - first, 0, len(least)), np.int32(1))
+    np.add.at(use, np.clip(high - first, 0, len(least)), np.int32(-1))
     at = np.flatnonzero(np.cumsum(use[:-1]) > 0)
     value = least[at]
     new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else at
@@ -291,8 +291,8 @@ def cut_out(docs: pa.Table, told: pa.Table, with_text: bool) -> pa.Table:
     least[by_name] = np.repeat(ids[s.text[by_name[at]]], np.diff(np.r_[at, len(by_name)]))
     own = np.flatnonzero(least < ids[s.text])
     step = np.zeros(sum(map(len, texts)) + 1, np.int32)
-    np.add.at(step, np.r_[s.begin[which] + firsts[part], s.begin[own]], 1)
-    np.add.at(step, np.r_[s.begin[which] + ends[part].astype(np.int64), s.begin[own] + s.windows[own]] + LENGTH - 1, -1)
+    np.add.at(step, np.r_[s.begin[which] + firsts[part], s.begin[own]], np.int32(1))
+    np.add.at(step, np.r_[s.begin[which] + ends[part].astype(np.int64), s.begin[own] + s.windows[own]] + LENGTH - 1, np.int32(-1))
     gone = np.cumsum(step[:-1], out=step[:-1]) > 0
     rows, begin = [], 0
     for i, t in zip(docs.column("doc_id").to_pylist(), texts, strict=True):
